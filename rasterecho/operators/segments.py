@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def reset_frames(expression: Column) -> Column:
     """the distinct whole numbers of a comma-separated list, in order."""
-    parts = F.filter(F.transform(F.split(expression, ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(expression, ","), lambda p: F.trim(p)), lambda p: p != "")
     return F.array_sort(F.array_distinct(F.transform(parts, lambda p: p.cast("int"))))
 
 
