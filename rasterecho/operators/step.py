@@ -3,8 +3,8 @@
 Rows here are *lines*: one row per raster row with one float array per channel. A line is never wider
 than its raster, so no group grows with the data, and a shuffle moves 4 bytes per value instead of a
 full row per pixel. All pixels of a line that share a block share one displacement, so a step joins
-each (line, block) with two history lines and ships only the slice it can touch, instead of
-exploding four taps per pixel.
+each segment (line, block) with one pair of history lines and ships only the slice it can touch,
+instead of exploding four taps per pixel.
 """
 
 from __future__ import annotations
@@ -98,7 +98,7 @@ def _untouched(cur: DataFrame, color: bool = True) -> DataFrame:
 
 
 def segments_of_lines(busy: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Each line cut at its block borders, with the two history rows and the column range it reads."""
+    """Each line cut at its block borders, with the history row and the column range it reads."""
     rows = blocks.groupBy(*KEY, "by").agg(
         F.sort_array(F.collect_list(F.struct("bx", "dx", "dy", "refresh"))).alias("blk")
     )
@@ -108,32 +108,32 @@ def segments_of_lines(busy: DataFrame, blocks: DataFrame) -> DataFrame:
         .select(*KEY, "y", "w", "h", "block_size", F.inline("blk"))
     )
     ends = cut.selectExpr(
-        "*",
-        f"CAST(floor({P.on_grid_finite('(CAST(y AS FLOAT) - dy)', 'h')}) AS INT) AS top",
-        "bx * block_size AS x_first",
-        "least(bx * block_size + block_size - 1, w - 1) AS x_last",
+        "*", "bx * block_size AS x_first", "least(bx * block_size + block_size - 1, w - 1) AS x_last"
     )
+    low, high = (P.on_grid_finite(f"(CAST({x} AS FLOAT) - dx)", "w") for x in ("x_first", "x_last"))
     return ends.selectExpr(
         *KEY, "y", "bx", "dx", "dy", "refresh",
-        f"CAST(floor({P.on_grid_finite('(CAST(x_first AS FLOAT) - dx)', 'w')}) AS INT) AS lo",
-        f"least(CAST(floor({P.on_grid_finite('(CAST(x_last AS FLOAT) - dx)', 'w')}) AS INT) + 1, w - 1) AS hi",
-        "posexplode(array(top, least(top + 1, h - 1))) AS (tap, ty)",
+        f"CAST(floor({P.on_grid_finite('(CAST(y AS FLOAT) - dy)', 'h')}) AS INT) AS top",
+        f"CAST(floor({low}) AS INT) AS lo",
+        f"least(CAST(floor({high}) AS INT) + 1, w - 1) AS hi",
     )
 
 
-def fetch(segs: DataFrame, prev: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """The slices of history each line needs, as ``pieces`` ordered by (block, tap)."""
-    source = prev.select(*KEY, F.col("y").alias("ty"), *[F.col(c).alias(f"h_{c}") for c in columns])
-    count = F.col("hi") - F.col("lo") + 1
-    piece = F.struct(
-        "bx", "tap", "dx", "dy", "refresh", "lo",
-        *[F.slice(f"h_{c}", F.col("lo") + 1, count).alias(c) for c in columns],
+def row_pairs(prev: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Each history line with the line below it, so both taps of a column come from one row."""
+    below = prev.select(*KEY, (F.col("y") - 1).alias("y"), *[F.col(c).alias(f"l_{c}") for c in columns])
+    upper = prev.select(*KEY, "y", *[F.col(c).alias(f"u_{c}") for c in columns])
+    return upper.join(below, [*KEY, "y"], "left").select(
+        *KEY, F.col("y").alias("top"), *[f"u_{c}" for c in columns],
+        *[F.coalesce(f"l_{c}", f"u_{c}").alias(f"l_{c}") for c in columns],
     )
-    return (
-        segs.join(source, [*KEY, "ty"])
-        .select(*KEY, "y", piece.alias("piece"))
-        .groupBy(*KEY, "y")
-        .agg(F.sort_array(F.collect_list("piece")).alias("pieces"))
+
+
+def fetch(segs: DataFrame, prev: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """The part of history each segment can touch: slices ``u_*`` of its upper row and ``l_*`` of the lower."""
+    return segs.join(row_pairs(prev, columns), [*KEY, "top"]).selectExpr(
+        *KEY, "y", "bx", "dx", "dy", "refresh", "lo",
+        *[f"slice({row}_{c}, lo + 1, hi - lo + 1) AS {row}_{c}" for row in "ul" for c in columns],
     )
 
 
@@ -190,28 +190,23 @@ def step_pixels(
 ) -> DataFrame:
     """One row per pixel with its output, next coverage and the facts the counters need."""
     fetched = HISTORY if color or not checked else ("k",)
-    pieces = fetch(segments_of_lines(busy, blocks), prev, fetched)
-    wide = busy.join(pieces, [*KEY, "y"])
+    touched = fetch(segments_of_lines(busy, blocks), prev, fetched)
     own = ()
     if semantics.same_pixel or (semantics.full and semantics.trail):
         own = fetched if semantics.same_pixel or not checked else ("k",)
-        here = prev.select(*KEY, "y", *[F.col(c).alias(f"p_{c}") for c in own])
-        wide = wide.join(here, [*KEY, "y"])
-
     beauty = P.COLOR if color else ()
-    arrays = (*beauty, "m", *[f"p_{c}" for c in own])
+    here = busy.select(*KEY, "frame", "y", "w", "h", *RUN_COLUMNS, "block_size", *beauty, "m")
+    if own:
+        here = here.join(prev.select(*KEY, "y", *[F.col(c).alias(f"p_{c}") for c in own]), [*KEY, "y"])
+    # What is constant along a segment is worked out once per segment, before its pixels are unfolded;
+    # that also keeps the loop body small enough for the JVM to compile.
     kept = (*KEY, "frame", "y", "w", "h", *RUN_COLUMNS)
-    # Outer loop: the blocks a line crosses. What is constant along a block is worked out once here,
-    # and each loop body stays small enough for the JVM to compile.
-    cut = wide.selectExpr(
-        *KEY, "frame", "y", "w", "h", *[f"nvl({c}, 0D) AS {c}" for c in RUN_COLUMNS],
-        "block_size", *arrays, "pieces", "explode(sequence(0, CAST(size(pieces) DIV 2 AS INT) - 1)) AS bx",
-    ).selectExpr("*", "get(pieces, bx * 2) AS upper", "get(pieces, bx * 2 + 1) AS lower")
-    cut = cut.selectExpr(
-        *kept, *arrays, "bx", "nvl(block_size, 1) AS block_size", "nvl(upper.dx, 0F) AS dx",
-        "nvl(upper.refresh, false) AS refresh", "nvl(upper.lo, 0) AS lo",
-        "CAST(nvl(y, 0) AS FLOAT) - nvl(upper.dy, 0F) AS sy",
-        *[f"upper.{c} AS u_{c}" for c in fetched], *[f"lower.{c} AS l_{c}" for c in fetched],
+    arrays = (*beauty, "m", *[f"p_{c}" for c in own])
+    cut = touched.join(here, [*KEY, "y"]).selectExpr(
+        *KEY, "frame", "y", "w", "h", *[f"nvl({c}, 0D) AS {c}" for c in RUN_COLUMNS], *arrays,
+        "nvl(bx, 0) AS bx", "nvl(block_size, 1) AS block_size", "nvl(dx, 0F) AS dx", "nvl(refresh, false) AS refresh",
+        "nvl(lo, 0) AS lo", "CAST(nvl(y, 0) AS FLOAT) - nvl(dy, 0F) AS sy",
+        *[f"{row}_{c}" for row in "ul" for c in fetched],
     ).selectExpr(
         *kept, *arrays, "bx", "dx", "refresh", "lo", *[f"{row}_{c}" for row in "ul" for c in fetched],
         f"nvl({P.inside_finite('sy', 'h')}, false) AS y_valid", f"{P.on_grid_finite('sy', 'h')} AS cy",

@@ -48,7 +48,7 @@ def a1(spark, sf):
     return C.pass_paths(spans(spark, sf), F.col("seq"), prefix="re_")
 
 
-@query("a2_pass_catalog")
+@query("a2_pass_catalog", f"""{W} SELECT seq, frame, pass, count(*) > 0 AS has_bytes FROM px, {PASSES_SQL} GROUP BY seq, frame, pass""")
 def a2(spark, sf):
     """Pixels written as pass folders, then listed without reading them."""
     root = new_folder(spark, "raw")
