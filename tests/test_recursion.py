@@ -39,7 +39,9 @@ CASES = {
                      [(colors(RED), None, matte(0)), (colors(BLUE), None, matte(1))]),
     "preroll_target": (run_row("preroll_target", persistence=1.0, **PLAIN),
                        [(colors(RED), None, matte(0)), (colors(BLUE), None, matte(1))]),
-    "trail_mix": (run_row("trail_mix", trail_decay=1.0, trail_motion_mix=0.25, **FULL, **TRAIL),
+    # the published case has one block over the whole row, so unmatted pixels move with the target
+    "trail_mix": (run_row("trail_mix", trail_decay=1.0, trail_motion_mix=0.25, persistence=1.0, **FULL,
+                          **{**TRAIL, "block_size": 3}),
                   [(gray(1, 3, 0), None, matte(0.8, 0, 0)), (gray(1, 3, 0), vectors(1, 1, 1), matte(0, 1, 0))]),
     "trail_full": (run_row("trail_full", trail_decay=0.5, trail_motion_mix=0.0, persistence=1.0, **FULL, **TRAIL),
                    [(colors(RED, BLUE), None, matte(1, 1)), (colors((0, 0, 0, 0), BLUE), None, matte(0, 1))]),
