@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lang_id, mixing, near_dup, token_file
+from . import decontaminate, html_text, lang_id, license_scan, mixing, near_dup, pii, quality, token_file, url_filter
 from .tokenizers import word_tokenizer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,7 +55,7 @@ def duplicates(spark, sf_dir):
 
 MIX_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '')) AS size,
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
          md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS draw FROM documents),
 src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 num AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) AS number FROM src),
@@ -65,10 +65,10 @@ lv AS (SELECT *, cap / weight AS ratio,
        FROM wt WINDOW before AS (ORDER BY cap / weight, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 tg AS (SELECT source, source_size, least(cap, coalesce((min({'r': ratio, 'n': number, 'l': level}) FILTER (WHERE level <= ratio) OVER ()).l, 'infinity'::DOUBLE) * weight) AS target FROM lv),
 laid AS (SELECT s.doc_id, s.size, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS quota,
-           sum(s.size) OVER (PARTITION BY s.source ORDER BY s.draw, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - s.size AS at
+           sum(s.size) OVER (PARTITION BY s.source ORDER BY s.draw, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - s.size AS pos
          FROM sized s JOIN tg t ON s.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-  CAST(least(size, greatest(0, quota - at)) + least(size, greatest(0, quota - source_size - at)) AS BIGINT) AS taken FROM laid
+  CAST(least(size, greatest(0, quota - pos)) + least(size, greatest(0, quota - source_size - pos)) AS BIGINT) AS taken FROM laid
 """
 
 
@@ -88,3 +88,60 @@ def pipeline(spark, sf_dir):
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query("op2_quality_rules")
+def quality_rules(spark, sf_dir):
+    kept = quality.judge(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _url_list(pages: DataFrame) -> DataFrame:
+    """A dated list made from the hosts of the table: a third is listed, taken off later, and a part listed again."""
+    hosts = pages.select(url_filter.host_of("url").alias("host")).where("host <> ''").distinct()
+    draw = lambda a: F.conv(F.substring(F.md5(F.col("host").cast("binary")), a, 4), 16, 10).cast("int")
+    hosts = hosts.select(F.col("host").alias("pattern"), draw(1).alias("a"), draw(5).alias("b"), draw(9).alias("c")).where("a % 3 = 0 OR pattern LIKE '%adult%'")
+    category = F.when(F.col("pattern").contains("adult"), "adult").when(F.col("a") % 2 == 0, "spam").otherwise("malware")
+    first = (F.col("b") % 365).alias("day")
+    gone = (F.col("b") % 365 + 1 + F.col("c") % 200).alias("day")
+    back = (F.col("b") % 365 + 201 + F.col("c") % 200).alias("day")
+    part = lambda day, action, which="true": hosts.where(which).select("pattern", category.alias("category"), day, F.lit(action).alias("action"))
+    return part(first, "add").union(part(gone, "remove")).union(part(back, "add", "c % 4 = 0"))
+
+
+URL_SQL = r"""
+WITH named AS (SELECT page_id, url, CAST((page_id * 37) % 730 AS INT) AS day, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)) AS host FROM pages),
+hosts AS (SELECT DISTINCT host FROM named WHERE host <> ''),
+drawn AS (SELECT host AS pattern, CAST('0x' || substr(md5(host), 1, 4) AS INT) AS a, CAST('0x' || substr(md5(host), 5, 4) AS INT) AS b, CAST('0x' || substr(md5(host), 9, 4) AS INT) AS c FROM hosts),
+listed AS (SELECT *, CASE WHEN contains(pattern, 'adult') THEN 'adult' WHEN a % 2 = 0 THEN 'spam' ELSE 'malware' END AS category FROM drawn WHERE a % 3 = 0 OR contains(pattern, 'adult')),
+spans AS (SELECT pattern, category, b % 365 AS lo, b % 365 + 1 + c % 200 AS hi FROM listed
+          UNION ALL SELECT pattern, category, b % 365 + 201 + c % 200, NULL FROM listed WHERE c % 4 = 0),
+suffixes AS (SELECT host, array_to_string(list_slice(string_split(host, '.'), i, 99), '.') AS pattern FROM hosts, unnest(range(1, 100)) AS u(i) WHERE i <= len(string_split(host, '.'))),
+hit AS (SELECT n.page_id, n.url, s.category FROM named n JOIN suffixes x ON n.host = x.host JOIN spans s ON x.pattern = s.pattern AND s.lo <= n.day AND (s.hi IS NULL OR n.day < s.hi)),
+per AS (SELECT page_id, url, count(*) AS n_active, min(category) AS category FROM hit GROUP BY page_id, url)
+SELECT n.page_id, n.url, n.host, n.day, coalesce(p.n_active, 0) AS n_active, p.category, p.n_active IS NOT NULL AS blocked
+FROM named n LEFT JOIN per p ON n.page_id = p.page_id AND n.url = p.url
+"""
+
+
+@query("op5_url_filter", URL_SQL)
+def url_filters(spark, sf_dir):
+    """The pages table has no fetch time; the day is made from the page id, the list from the hosts."""
+    pages = table(spark, sf_dir, "pages")
+    captures = pages.select("page_id", "url", F.expr("CAST((page_id * 37) % 730 AS INT)").alias("day"))
+    return url_filter.apply_list(captures, _url_list(pages)).select("page_id", "url", "host", "day", "n_active", "category", "blocked")
+
+
+@query("op6_license_scan")
+def licenses(spark, sf_dir):
+    return license_scan.scan(table(spark, sf_dir, "documents"), license_scan.templates(spark))
+
+
+@query("op3_main_text")
+def main_texts(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op4_personal_data")
+def personal_data(spark, sf_dir):
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
