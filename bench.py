@@ -44,7 +44,7 @@ def main() -> None:
     from rasterecho.plans.scan import feedback_scan
     from rasterecho.plans.workspace import stored
     from rasterecho.suite import load
-    from rasterecho.suite.fixtures import raster
+    from rasterecho.suite.fixtures import FRAMES, raster
 
     queries = load().QUERIES
     seconds: dict[str, float] = {}
@@ -71,7 +71,7 @@ def main() -> None:
         timed(name, lambda name=name: run(queries[name](spark, sf)))
 
     total = round(sum(seconds.values()), 3)
-    recursive = pixels * 5 // 6
+    recursive = pixels * (FRAMES - 1) // FRAMES
     print(json.dumps({
         "metric": "total_seconds", "value": total, "unit": "sec", "queries": seconds,
         "sf": os.path.basename(sf.rstrip("/")).removeprefix("sf"), "pixels": pixels,

@@ -64,13 +64,13 @@ def plan_frames(
     seeds = state.groupBy(*keys).agg(
         F.max("frame").alias("_last"), F.max("h").alias("_h"), F.max("w").alias("_w")
     )
-    known = frames.join(seeds, list(keys))
+    known = frames.join(seeds, list(keys), "left")  # a pair without stored state starts clean
     # The stored frame takes part as the frame before the first, so size changes and gaps show.
     stored_frame = seeds.select(
         *keys, F.col("_last").alias("frame"), F.col("_h").alias("h"), F.col("_w").alias("w"),
         F.lit(True).alias("has_matte"), F.lit(True).alias("seeded"),
     )
-    rest = known.where(F.col("frame") > F.col("_last")).select(
+    rest = known.where(F.col("_last").isNull() | (F.col("frame") > F.col("_last"))).select(
         *keys, "frame", "h", "w", "has_matte", F.lit(False).alias("seeded")
     )
     return with_live(segments(stored_frame.unionByName(rest), resets, keys, policy=policy), keys)
@@ -112,7 +112,7 @@ def feedback_scan(
     combos = sorted({Semantics.of(r) for r in runs}, key=str)
     written: list[DataFrame] = []
     prev = None
-    for pos in range(waves):
+    for pos in range(max(1, waves)):  # with nothing ready, an empty wave gives the schema
         cur = lines.where(F.col("pos") == pos).drop("w").join(
             ready.where((F.col("pos") == pos) & ~F.col("seeded")).drop("pos", "has_matte"), ["seq", "frame"]
         )
@@ -130,7 +130,7 @@ def feedback_scan(
         prev = done
         if pos == 0 and state is not None:
             prev = done.unionByName(_seed(state, ready, done), allowMissingColumns=True)
-    finished = spark.read.schema(written[0].schema).parquet(*[f"{root}/wave={p}" for p in range(waves)])
+    finished = spark.read.schema(written[0].schema).parquet(*[f"{root}/wave={p}" for p in range(len(written))])
     failures = plan.where(F.col("state_error").isNotNull()).groupBy("run_id", "seq").agg(
         F.min("frame").alias("frame"), F.min_by("state_error", "frame").alias("reason")
     )

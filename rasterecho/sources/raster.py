@@ -43,6 +43,16 @@ def rasterize(facts: DataFrame, grid: Grid, measures: dict[str, Column], channel
     return merged.select(*pixel, *[c.alias(n) for n, c in channels.items()])
 
 
+def off_grid(facts: DataFrame, grid: Grid) -> DataFrame:
+    """How many facts ``rasterize`` cannot place, by reason."""
+    reason = (
+        F.when(~F.coalesce(F.col("frame").between(grid.first_frame, grid.last_frame), F.lit(False)), "frame outside the grid")
+        .when(~F.coalesce(F.col("y").between(0, grid.height - 1), F.lit(False)), "row outside the grid")
+        .when(~F.coalesce(F.col("x").between(0, grid.width - 1), F.lit(False)), "column outside the grid")
+    )
+    return facts.withColumn("reason", reason).where("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("facts"))
+
+
 def matte_red(px: DataFrame) -> DataFrame:
     """Matte coverage is the red channel of a raster."""
     return px.select("seq", "frame", "y", "x", F.col("r").alias("m"))

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..sources.raster import Grid, rasterize
 
-HEIGHT, WIDTH, FRAMES, BLOCK = 30, 34, 6, 8
+# One frame for each of the seven ship years of the line items.
+HEIGHT, WIDTH, FRAMES, BLOCK = 30, 34, 7, 8
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:

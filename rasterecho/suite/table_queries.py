@@ -311,7 +311,7 @@ def g2(spark, sf):
 
 
 @query("g3_manifest_commit", f"""{W}, rs AS (SELECT unnest(['hard_target', 'trail_target', 'hard_full', 'trail_full', 'refresh']) AS run_id)
- SELECT run_id, seq, '1,2,3,4,5' AS completed, min(frame) AS frame_start, 5 AS last_frame FROM rs, px GROUP BY run_id, seq""")
+ SELECT run_id, seq, '{",".join(map(str, range(1, FRAMES)))}' AS completed, min(frame) AS frame_start, {FRAMES - 1} AS last_frame FROM rs, px GROUP BY run_id, seq""")
 def g3(spark, sf):
     """Without resets, wave k holds frame k + 1; the last wave is taken as not finished."""
     lines = whole_scan(spark, sf).lines.withColumn("wave", F.col("frame") - 1)
@@ -326,7 +326,7 @@ def manifests_of(runs, changed):
         runs.select("run_id", "history_source", "o_orderkey"), "run_id")
     rows = settled.select(
         "run_id", F.lit("s").alias("seq"), F.lit(5).alias("schema_version"), F.lit("display_top_left_v1").alias("image_orientation"),
-        F.lit(1).alias("frame_start"), F.lit(6).alias("frame_end"), "history_source", "settings_fingerprint",
+        F.lit(1).alias("frame_start"), F.lit(FRAMES).alias("frame_end"), "history_source", "settings_fingerprint",
         "effective_settings", F.array(F.lit(3), F.lit(5)).alias("reset_frames"), F.lit("ERROR").alias("resolution_change"),
         F.sequence(F.lit(1), F.lit(3)).alias("completed"), "o_orderkey",
     )
