@@ -89,23 +89,66 @@ class Codes:
 
 class WordEncoder:
     """Ids of whole texts. The tokenizer drops white space and splits at it, so a text's ids are those of its pieces between ASCII
-    spaces and line ends, one after another; a worker looks up pieces that it has met."""
+    spaces and line ends, one after another; a worker looks up pieces that it has met.
+
+    A new piece of letters and closing commas or stops is the ids of its lower-cased letters, then those of the signs. New words of
+    letters are encoded together in one text; an id that ends a word (its entry ends so in the vocabulary) parts them again. If the
+    parts don't come out as many as the words, and for all other pieces, each is encoded for itself.
+    """
+
+    WORD_END = "</w>"
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.path, self.tokenizer, self.known = path, Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         self.run = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        for entry, i in vocabulary.items():
+            self.ends[i] = entry.endswith(self.WORD_END)
+
+    def _each(self, pieces: list[str]) -> dict[str, bytes]:
+        return {p: np.array(made.ids, "<u4").tobytes() for p, made in zip(pieces, self.run(pieces, add_special_tokens=False), strict=True)}
+
+    def _together(self, words: list[str]) -> dict[str, bytes]:
+        ids = np.array(self.run([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(words) or stops[-1] != len(ids):
+            return self._each(words)
+        raw, stops = ids.tobytes(), (4 * stops).tolist()
+        return {w: raw[a:z] for w, a, z in zip(words, [0, *stops[:-1]], stops, strict=True)}
+
+    def _learn(self, fresh: list[str]) -> None:
+        split, other = [], []
+        for piece in fresh:
+            letters = piece.rstrip(",.")
+            # The two letters whose lower case depends on their place or makes a sign of its own go the plain way.
+            if letters.isalpha() and "\u03a3" not in letters and "\u0130" not in letters:
+                split.append((piece, letters.lower(), piece[len(letters) :]))
+            else:
+                other.append(piece)
+        new = list({w for _, w, _ in split} - self.words.keys())
+        for i in range(0, len(new), 5000):
+            self.words |= self._together(new[i : i + 5000])
+        signs = self._each(sorted({s for _, _, s in split if s}))
+        signs[""] = b""
+        for piece, word, sign in split:
+            self.known[piece] = self.words[word] + signs[sign]
+        for i in range(0, len(other), 20_000):
+            self.known |= self._each(other[i : i + 20_000])
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > MEMORY:
             self.known = {}
+        if len(self.words) > MEMORY:
+            self.words = {}
         pieces = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        fresh = list({w for words in pieces for w in words} - self.known.keys())
-        for i in range(0, len(fresh), 20_000):
-            part = fresh[i : i + 20_000]
-            for word, made in zip(part, self.run(part, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(made.ids, "<u4").tobytes()
+        fresh = {w for words in pieces for w in words} - self.known.keys()
+        if fresh:
+            self._learn(list(fresh))
         end = np.array([END_ID], "<u4").tobytes()
         known = self.known
         return [np.frombuffer(b"".join([known[w] for w in words]) + end, "<u4") for words in pieces]
@@ -137,8 +180,8 @@ def _coded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
     for batch in batches:
         kind = batch.column(0).type
         ids, texts = batch.column(0).to_pylist(), batch.column(1)
-        for i in range(0, len(ids), 256):
-            for key, codes in zip(ids[i : i + 256], _encoders[path](texts.slice(i, 256).to_pylist()), strict=True):
+        for i in range(0, len(ids), 1024):
+            for key, codes in zip(ids[i : i + 1024], _encoders[path](texts.slice(i, 1024).to_pylist()), strict=True):
                 if rows and size + len(codes) > SEGMENT_TOKENS:
                     yield flush()
                 rows.append((key, len(codes)))
