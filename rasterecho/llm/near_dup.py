@@ -26,8 +26,10 @@ SIMILARITY = 75  # percent
 ROWS, BANDS = 4, 32  # a pair at 0.75 misses all bands with probability 5e-6
 COORDINATES = ROWS * BANDS
 UNIVERSE_BITS = 20
-#: Pairs that agree in fewer coordinates are not compared in full: at 0.75 that is 6.5 standard deviations away.
-LEAST_AGREEMENT = COORDINATES // 2
+#: Pairs that agree in fewer coordinates are not compared in full: at 0.75 that is 4.5 standard deviations away, a chance of 4e-6,
+#: like that of missing all bands.
+LEAST_AGREEMENT = 74
+STARS = 2
 CHUNK = 512
 
 _rng = np.random.default_rng(11)
@@ -210,22 +212,53 @@ def _rest(members: DataFrame, tested: DataFrame, labels: DataFrame, classes: Dat
     return keep(found.distinct().join(tested, ["a", "b"], "left_anti"), "rest")
 
 
+def _star(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Pairs of each bucket's center with its members of other components.
+
+    At first everyone is a component of their own and the center has the highest degree; later it is the highest outside the
+    component that the highest of all belongs to, so that another center gets its turn.
+    """
+    best = F.struct("degree", "cls")
+    if labels is None:
+        centers = members.groupBy("key").agg(F.max(best)["cls"].alias("center"))
+        pairs = members.join(centers, "key").where("cls != center")
+    else:
+        named = members.join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+        tops = keep(named.groupBy("key", "component").agg(F.max(best).alias("top")), "tops")
+        first = tops.groupBy("key").agg(F.max("top").alias("most"))
+        second = tops.join(first, "key").where("top != most").groupBy("key").agg(F.max(F.struct("top", "component")).alias("c"))
+        centers = second.select("key", F.col("c.top.cls").alias("center"), F.col("c.component").alias("own"))
+        pairs = named.join(centers, "key").where("component != own")
+    return pairs.select(F.least("cls", "center").alias("a"), F.greatest("cls", "center").alias("b")).distinct()
+
+
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept.
 
-    Every bucket is first compared as a star around its smallest class. Buckets whose members are then still in different
+    Every bucket is first compared as a star around one of its classes, then around another. Buckets whose members are then still in different
     components are compared across those components in chunks, so no link between different texts is lost to a bucket's size.
     """
     prints = keep(documents.select(id_col, text_col).mapInArrow(_fingerprints, f"id {documents.schema[id_col].dataType.simpleString()}, n_shingles bigint, cls binary, bands array<bigint>, signature binary"), "prints")
     full = prints.where("n_shingles > 0")
     classes = keep(full.groupBy("cls").agg(F.min("id").alias("id"), F.first("signature").alias("signature")), "classes")
     banded = full.select("cls", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("cls").alias("pivot"), F.max("cls").alias("last")).where("pivot != last").select("key", "pivot")
-    members = keep(banded.join(shared, "key").groupBy("key", "pivot", "cls").agg(F.lit(1).alias("one")).drop("one"), "members")
-    star = keep(members.where("cls != pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct(), "star")
-    links = _verified(star, classes, documents, id_col, text_col)
-    labels = components(links)
-    rest = _rest(members.select("key", "cls"), star, labels, classes)
+    shared = banded.groupBy("key").agg(F.min("cls").alias("x"), F.max("cls").alias("y"), F.count("*").alias("n")).where("x != y").select("key", "n")
+    members = keep(banded.join(shared, "key").groupBy("key", "cls").agg(F.max("n").alias("n")), "members")
+    # The text that others were copied from meets most of them in most buckets: the best center of a star.
+    members = keep(members.join(members.groupBy("cls").agg(F.sum("n").alias("degree")), "cls").select("key", "cls", "degree"), "degrees")
+    tested = links = labels = None
+    for _ in range(STARS):
+        star = _star(members, labels)
+        if tested is not None:
+            star = star.join(tested, ["a", "b"], "left_anti")
+        star = keep(star, "star")
+        if star.isEmpty() and links is not None:
+            break
+        tested = star if tested is None else tested.union(star)
+        found = _verified(star, classes, documents, id_col, text_col)
+        links = found if links is None else links.union(found)
+        labels = components(links)
+    rest = _rest(members.select("key", "cls"), tested, labels, classes)
     if rest is not None and not rest.isEmpty():
         labels = components(links.union(_verified(rest, classes, documents, id_col, text_col)))
     rows = prints.select("id", "n_shingles", "cls").join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
