@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .textbytes import slabs
@@ -29,6 +29,8 @@ ORDER = 3
 #: Bounds of the sample that trains a language: documents, and characters of each (longer documents are not drawn).
 SAMPLE_DOCUMENTS, SAMPLE_CHARS = 300, 20_000
 TABLE_BYTES = 48_000_000
+#: A label column with more values is no language column, and is refused.
+MOST_LANGUAGES = 1000
 
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
@@ -145,12 +147,14 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", k
     """Learn from at most ``SAMPLE_DOCUMENTS`` documents of each language, drawn by the hash of their key."""
     drawn = F.xxhash64(key_col).bitwiseAND(F.lit(2**40 - 1))
     usable = labelled.where(F.col(lang_col).isNotNull() & (F.length(text_col) <= SAMPLE_CHARS))
-    counts = usable.groupBy(lang_col).count()
-    share = F.least(F.lit(1.0), F.lit(float(SAMPLE_DOCUMENTS)) / F.col("count"))
+    # One row for each language goes through the driver, and no text is shuffled but the sample.
+    counts = {r[0]: r[1] for r in usable.groupBy(lang_col).count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} labels of languages")
+    shares = [F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, SAMPLE_DOCUMENTS / n))]
+    share = F.element_at(F.create_map(*shares), F.col(lang_col)) if shares else F.lit(0.0)
     # About SAMPLE_DOCUMENTS rows of each language pass, whatever the size of the corpus; the rank then makes the bound strict.
-    from pyspark.sql import Window
-
-    passed = usable.join(counts, lang_col).where(drawn < share * float(2**40)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), drawn.alias("drawn"))
+    passed = usable.where(drawn < share * float(2**40)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), drawn.alias("drawn"))
     chosen = passed.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("drawn", "text"))).where(F.col("rank") <= SAMPLE_DOCUMENTS)
     grams = chosen.select("lang", "text").mapInArrow(_counts, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n"))
     return Model([tuple(r) for r in grams.collect()])
