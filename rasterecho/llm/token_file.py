@@ -78,14 +78,31 @@ class Codes:
                 break
             out[open_] |= chunks[places].astype(np.uint32) << np.uint32(shift)
             more = bits[places >> 3] >> (places & 7).astype(np.uint8) & 1 > 0
-            open_, places = open_[more], places[more]
-            # The directory's count before the block, the bytes since its start, and the bits before the place in its own byte.
-            block, byte = places // BLOCK, places >> 3
-            before = _POPCOUNT[bits[byte] & ((1 << (places & 7)) - 1).astype(np.uint8)] if len(places) else places
-            places = ranks[block].astype(np.int64) + inside[byte] - inside[block * (BLOCK // 8)] + before
+            open_, places = open_[more], self._rank(bits, ranks, inside, places[more])
             shift += CHUNK_BITS
         return out
 
+    def run(self, start: int, stop: int) -> np.ndarray:
+        """Ids of a run of places: in each level the ids that go on are a run again."""
+        out, open_, shift = np.zeros(stop - start, np.uint32), np.arange(stop - start), 0
+        for chunks, bits, ranks, inside in self.levels:
+            if start >= stop:
+                break
+            out[open_] |= chunks[start:stop].astype(np.uint32) << np.uint32(shift)
+            more = np.unpackbits(bits[start >> 3 : (stop + 7) >> 3], bitorder="little")[start & 7 :][: stop - start].view(bool)
+            open_ = open_[more]
+            start = int(self._rank(bits, ranks, inside, np.array([start]))[0])
+            stop = start + len(open_)
+            shift += CHUNK_BITS
+        return out
+
+    @staticmethod
+    def _rank(bits: np.ndarray, ranks: np.ndarray, inside: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """The directory's count before the block, the bytes since its start, and the bits before the place in its own byte."""
+        block, byte = places // BLOCK, places >> 3
+        before = _POPCOUNT[bits[byte] & ((1 << (places & 7)) - 1).astype(np.uint8)] if len(places) else places
+        return ranks[block].astype(np.int64) + inside[byte] - inside[block * (BLOCK // 8)] + before
+
 
 class WordEncoder:
     """Ids of whole texts. The tokenizer drops white space and splits at it, so a text's ids are those of its pieces between ASCII
@@ -130,7 +147,7 @@ class WordEncoder:
                 split.append((piece, letters.lower(), piece[len(letters) :]))
             else:
                 other.append(piece)
-        new = list({w for _, w, _ in split} - self.words.keys())
+        new = list({w for _, w, _ in split}.difference(self.words))
         for i in range(0, len(new), 5000):
             self.words |= self._together(new[i : i + 5000])
         signs = self._each(sorted({s for _, _, s in split if s}))
@@ -146,12 +163,12 @@ class WordEncoder:
         if len(self.words) > MEMORY:
             self.words = {}
         pieces = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        fresh = {w for words in pieces for w in words} - self.known.keys()
+        # The dictionary is asked for each piece; taking away its keys would walk through all of them for each batch.
+        fresh = set().union(*pieces).difference(self.known)
         if fresh:
             self._learn(list(fresh))
         end = np.array([END_ID], "<u4").tobytes()
-        known = self.known
-        return [np.frombuffer(b"".join([known[w] for w in words]) + end, "<u4") for words in pieces]
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, words)) + end, "<u4") for words in pieces]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -215,7 +232,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codes, at = Codes(code), 0
             ids, starts, counts, sums = [], [], [], []
             for doc in documents:
-                got = codes.at(np.arange(at, at + doc["n"]))
+                got = codes.run(at, at + doc["n"])
                 ids.append(doc["id"])
                 starts.append(start + at)
                 counts.append(doc["n"])

@@ -190,6 +190,8 @@ def test_codes():
         if n:
             places = rng.integers(0, n, 300)
             assert (codes.at(places) == ids[places]).all()
+            for a, z in [(0, n), (n - 1, n), *(sorted(rng.integers(0, n + 1, 2).tolist()) for _ in range(30))]:
+                assert (codes.run(a, z) == ids[a:z]).all()
 
 
 def test_tokens(spark, awkward, nothing):
