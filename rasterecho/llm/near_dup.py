@@ -30,7 +30,9 @@ UNIVERSE_BITS = 20
 #: like that of missing all bands.
 LEAST_AGREEMENT = 74
 STARS = 2
-CHUNK = 512
+#: Members and shingles of a chunk (a bound on a task's memory), and columns of the dense tables in which two chunks are compared.
+CHUNK, CHUNK_SHINGLES = 512, 1_000_000
+COLUMNS = 4096
 
 _rng = np.random.default_rng(11)
 _FIRST = _rng.permutation(2**UNIVERSE_BITS).astype(np.int32)
@@ -120,6 +122,17 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 EDGE = "a binary, b binary"
 
 
+def _full_sets(needed: DataFrame, classes: DataFrame, documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(cls, shingles) of the classes named, from the text of one of each class's rows."""
+    needed = needed.join(classes.select("cls", "id"), "cls")
+    texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    sets = (
+        texts.join(needed, texts.id.eqNullSafe(needed.id)).select("cls", "text")
+        .mapInArrow(_class_sets, "cls binary, shingles binary").dropDuplicates(["cls"])
+    )
+    return keep(sets, "sets")
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) of classes whose full sets are similar enough."""
     signed = classes.select("cls", "signature")
@@ -129,13 +142,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, id_col
         .select("a", "b", "s", "t").mapInArrow(_agreeing, EDGE)
     )
     near = keep(near, "pairs")
-    needed = near.select(F.col("a").alias("cls")).union(near.select("b")).distinct().join(classes.select("cls", "id"), "cls")
-    texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sets = (
-        texts.join(needed, texts.id.eqNullSafe(needed.id)).select("cls", "text")
-        .mapInArrow(_class_sets, "cls binary, shingles binary").dropDuplicates(["cls"])
-    )
-    sets = keep(sets, "sets")
+    sets = _full_sets(near.select(F.col("a").alias("cls")).union(near.select("b")).distinct(), classes, documents, id_col, text_col)
     return keep(
         near.join(sets.withColumnsRenamed({"cls": "b", "shingles": "y"}), "b")
         .join(sets.withColumnsRenamed({"cls": "a", "shingles": "x"}), "a")
@@ -167,22 +174,55 @@ def components(edges: DataFrame) -> DataFrame:
     return keep(labels, "labels")
 
 
-def _across(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of two chunks of a bucket that lie in different components and agree in enough coordinates."""
-    out: list[tuple[bytes, bytes]] = []
-    if len(left) and len(right):
-        y = np.frombuffer(b"".join(right.signature), np.uint16).reshape(-1, COORDINATES)
-        rc, rv = right.component.to_numpy(), right.cls.to_numpy()
-        for cls, comp, s in zip(left.cls, left.component, left.signature, strict=True):
-            hit = (y == np.frombuffer(s, np.uint16)).sum(axis=1) >= LEAST_AGREEMENT
-            out += [(min(cls, rv[i]), max(cls, rv[i])) for i in np.flatnonzero(hit) if rc[i] != comp]
-    return pd.DataFrame(sorted(set(out)), columns=["a", "b"])
-
+def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Size of the intersection of each set of one list with each of another."""
+    flat = [np.concatenate(side) for side in (x, y)]
+    shared = np.intersect1d(*flat)
+    sides = []
+    for side, values in zip((x, y), flat, strict=True):
+        owner = np.repeat(np.arange(len(side)), [len(v) for v in side])
+        at = np.searchsorted(shared, values)
+        inside = at < len(shared)
+        inside[inside] = shared[at[inside]] == values[inside]
+        order = np.argsort(at[inside], kind="stable")
+        sides.append((len(side), owner[inside][order], at[inside][order]))
+    out = np.zeros((len(x), len(y)), np.int64)
+    for start in range(0, len(shared), COLUMNS):
+        dense = []
+        for n, owner, at in sides:
+            low, high = np.searchsorted(at, [start, start + COLUMNS])
+            dense.append(np.zeros((n, COLUMNS), np.float32))
+            dense[-1][owner[low:high], at[low:high] - start] = 1
+        out += (dense[0] @ dense[1].T).astype(np.int64)
+    return out
 
-def _rest(members: DataFrame, tested: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame | None:
-    """Pairs of a bucket that no star covered: members in different components, compared chunk by chunk.
 
-    A component with over a chunk of members in a bucket has chunks of its own, which are not held against each other.
+def _across(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Links between two chunks of a bucket: pairs in different components whose full sets are similar enough."""
+    none = pd.DataFrame({"a": [], "b": []}, dtype=object)
+    if not len(left) or not len(right):
+        return none
+    y = np.frombuffer(b"".join(right.signature), np.uint16).reshape(-1, COORDINATES)
+    near = np.array([(y == np.frombuffer(s, np.uint16)).sum(axis=1) >= LEAST_AGREEMENT for s in left.signature])
+    near &= left.component.to_numpy()[:, None] != right.component.to_numpy()[None, :]
+    rows, cols = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+    if not len(rows):
+        return none
+    p, q = ([np.frombuffer(v, np.uint64) for v in side.shingles.iloc[at]] for side, at in ((left, rows), (right, cols)))
+    both = _common(p, q)
+    total = np.array([len(v) for v in p])[:, None] + np.array([len(v) for v in q])[None, :]
+    i, j = np.nonzero(near[np.ix_(rows, cols)] & (100 * both >= SIMILARITY * (total - both)))
+    x, z = left.cls.iloc[rows[i]].tolist(), right.cls.iloc[cols[j]].tolist()
+    found = sorted({(min(pair), max(pair)) for pair in zip(x, z, strict=True)})
+    return pd.DataFrame(found, columns=["a", "b"]) if found else none
+
+
+def _rest(members: DataFrame, labels: DataFrame, classes: DataFrame, documents: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
+    """Links of a bucket that no star found: members in different components, compared chunk by chunk on their full sets.
+
+    The sets come to the chunks, so that a bucket whose members are nearly similar enough makes no row for each of its pairs. Chunks
+    are bounded by members and by shingles. A component with over a chunk of members in a bucket has chunks of its own, which are not
+    held against each other.
     """
     named = members.join(labels, "cls", "left").select("key", "cls", F.coalesce("component", "cls").alias("component"))
     open_keys = keep(
@@ -191,25 +231,30 @@ def _rest(members: DataFrame, tested: DataFrame, labels: DataFrame, classes: Dat
     )
     if open_keys.isEmpty():
         return None
-    named = named.join(open_keys, "key")
-    sizes = named.groupBy("key", "component").agg(F.count("*").alias("n"))
-    small = sizes.where(F.col("n") < CHUNK).groupBy("key").agg(F.sum("n").alias("n_small"))
+    named = named.join(open_keys, "key").join(classes.select("cls", "signature", "n_shingles"), "cls")
+    chunks_of = F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n_shingles") / CHUNK_SHINGLES))
+    sizes = named.groupBy("key", "component").agg(F.count("*").alias("n"), chunks_of.alias("parts"))
+    small = named.join(sizes.where(F.col("n") < CHUNK), ["key", "component"]).groupBy("key").agg(chunks_of.alias("small_parts"))
     placed = (
         named.join(sizes, ["key", "component"]).join(small, "key", "left")
         .withColumn("big", F.when(F.col("n") >= CHUNK, F.col("component")))
-        .withColumn("part", F.pmod(F.xxhash64("cls"), F.ceil(F.coalesce(F.when(F.col("n") >= CHUNK, F.col("n")), "n_small") / CHUNK)))
-        .join(classes.select("cls", "signature"), "cls").select("key", "big", "part", "cls", "component", "signature")
+        .withColumn("part", F.pmod(F.xxhash64("cls"), F.when(F.col("n") >= CHUNK, F.col("parts")).otherwise(F.col("small_parts"))))
+        .withColumn("chunk", F.struct(F.coalesce("big", F.lit(b"")).alias("big"), "part"))
+        .select("key", "big", "chunk", "cls", "component", "signature")
     )
-    placed = keep(placed.withColumn("chunk", F.struct(F.coalesce("big", F.lit(b"")).alias("big"), "part")).drop("part"), "placed")
+    placed = keep(placed, "placed")
     chunks = placed.select("key", "chunk", "big").distinct()
     other = chunks.select("key", F.col("chunk").alias("other"), F.col("big").alias("other_big"))
     pairs = chunks.join(other, "key").where("chunk <= other AND NOT coalesce(big = other_big, false)").select("key", "chunk", "other")
     pairs = keep(pairs, "chunk-pairs")
+    sets = _full_sets(placed.select("cls").distinct(), classes, documents, id_col, text_col)
     # Written apart, so that the two sides are different tables to the analyzer.
-    left, right = (keep(pairs.join(placed.withColumnRenamed("chunk", c), ["key", c]).select("key", "chunk", "other", "cls", "component", "signature"), c) for c in ("chunk", "other"))
+    left, right = (
+        keep(pairs.join(placed.withColumnRenamed("chunk", c), ["key", c]).join(sets, "cls").select("key", "chunk", "other", "cls", "component", "signature", "shingles"), c)
+        for c in ("chunk", "other")
+    )
     keys = ["key", "chunk", "other"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_across, EDGE)
-    return keep(found.distinct().join(tested, ["a", "b"], "left_anti"), "rest")
+    return keep(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_across, EDGE).distinct(), "rest")
 
 
 def _star(members: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -240,7 +285,7 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     """
     prints = keep(documents.select(id_col, text_col).mapInArrow(_fingerprints, f"id {documents.schema[id_col].dataType.simpleString()}, n_shingles bigint, cls binary, bands array<bigint>, signature binary"), "prints")
     full = prints.where("n_shingles > 0")
-    classes = keep(full.groupBy("cls").agg(F.min("id").alias("id"), F.first("signature").alias("signature")), "classes")
+    classes = keep(full.groupBy("cls").agg(F.min("id").alias("id"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles")), "classes")
     banded = full.select("cls", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.min("cls").alias("x"), F.max("cls").alias("y"), F.count("*").alias("n")).where("x != y").select("key", "n")
     members = keep(banded.join(shared, "key").groupBy("key", "cls").agg(F.max("n").alias("n")), "members")
@@ -258,9 +303,9 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
         found = _verified(star, classes, documents, id_col, text_col)
         links = found if links is None else links.union(found)
         labels = components(links)
-    rest = _rest(members.select("key", "cls"), tested, labels, classes)
+    rest = _rest(members.select("key", "cls"), labels, classes, documents, id_col, text_col)
     if rest is not None and not rest.isEmpty():
-        labels = components(links.union(_verified(rest, classes, documents, id_col, text_col)))
+        labels = components(links.union(rest))
     rows = prints.select("id", "n_shingles", "cls").join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     smallest = rows.where("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("smallest"))
     return rows.join(smallest, "component", "left").select(

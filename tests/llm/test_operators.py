@@ -232,15 +232,31 @@ def test_components(spark):
     assert len({got[bytes([i])] for i in range(61)}) == 1 and got[b"x"] == got[b"y"] != got[bytes([1])]
 
 
-def test_rest_of_buckets(spark):
-    """Members that the star around the smallest misses are still compared with each other."""
-    full = np.arange(near_dup.COORDINATES, dtype=np.uint16)
-    sign = {b"a": full + 500, b"b": full, b"c": full}
-    classes = spark.createDataFrame([(k, 1, v.tobytes()) for k, v in sign.items()], "cls binary, id int, signature binary")
-    members = spark.createDataFrame([(7, k) for k in sign], "key bigint, cls binary")
-    tested = spark.createDataFrame([(b"a", b"b"), (b"a", b"c")], "a binary, b binary")
-    labels = spark.createDataFrame([], "cls binary, component binary")
-    assert [tuple(map(bytes, r)) for r in near_dup._rest(members, tested, labels, classes).collect()] == [(b"b", b"c")]
+@pytest.mark.parametrize("chunk", [2, 512])
+def test_rest_of_buckets(spark, monkeypatch, chunk):
+    """Members that no star brought together are still compared with each other, in one chunk or in several."""
+    monkeypatch.setattr(near_dup, "CHUNK", chunk)
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(words), " ".join(words[:-3]), " ".join(words[:-20]), " ".join(words[100:] + words[:70]), "a b c d e f", " ".join(words[:120])]
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    classes = documents.mapInArrow(near_dup._fingerprints, "id int, n_shingles bigint, cls binary, bands array<bigint>, signature binary")
+    cls = {r.id: bytes(r.cls) for r in classes.collect()}
+    members = classes.selectExpr("7L AS key", "cls")
+    labels = spark.createDataFrame([(cls[1], cls[0]), (cls[0], cls[0])], "cls binary, component binary")
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    alike = {(i, j) for i in range(6) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    want = alike - {(1, 0)}  # of one component already
+    assert len(want) == 4
+    got = near_dup._rest(members, labels, classes, documents, "doc_id", "text").collect()
+    assert {(bytes(r.a), bytes(r.b)) for r in got} == {(min(cls[i], cls[j]), max(cls[i], cls[j])) for i, j in want}
+
+
+def test_common_counts(monkeypatch):
+    monkeypatch.setattr(near_dup, "COLUMNS", 7)
+    rng = np.random.default_rng(4)
+    x, y = ([np.unique(rng.integers(0, 90, n)).astype(np.uint64) for n in sizes] for sizes in ((40, 1, 25), (60, 8)))
+    assert near_dup._common(x, y).tolist() == [[len(set(map(int, p)) & set(map(int, q))) for q in y] for p in x]
+    assert near_dup._common(x[:1], [np.array([1000], np.uint64)]).tolist() == [[0]]
 
 
 def test_mix(spark, awkward, nothing):
