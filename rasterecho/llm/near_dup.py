@@ -285,10 +285,10 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     """
     prints = keep(documents.select(id_col, text_col).mapInArrow(_fingerprints, f"id {documents.schema[id_col].dataType.simpleString()}, n_shingles bigint, cls binary, bands array<bigint>, signature binary"), "prints")
     full = prints.where("n_shingles > 0")
-    classes = keep(full.groupBy("cls").agg(F.min("id").alias("id"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles")), "classes")
-    banded = full.select("cls", F.explode("bands").alias("key"))
+    classes = keep(full.groupBy("cls").agg(F.min("id").alias("id"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")), "classes")
+    banded = classes.select("cls", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.min("cls").alias("x"), F.max("cls").alias("y"), F.count("*").alias("n")).where("x != y").select("key", "n")
-    members = keep(banded.join(shared, "key").groupBy("key", "cls").agg(F.max("n").alias("n")), "members")
+    members = keep(banded.join(shared, "key"), "members")
     # The text that others were copied from meets most of them in most buckets: the best center of a star.
     members = keep(members.join(members.groupBy("cls").agg(F.sum("n").alias("degree")), "cls").select("key", "cls", "degree"), "degrees")
     tested = links = labels = None
