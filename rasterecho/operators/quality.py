@@ -58,17 +58,20 @@ def _bad(*columns: str) -> Column:
     return flags
 
 
-def frame_quality(px: DataFrame) -> DataFrame:
-    """The violations of each frame; a pass without pixels at some place has another shape."""
-    stats = px.groupBy("seq", "frame").agg(
-        F.count_if(_bad("r", "g", "b", "a")).alias("beauty_bad"),
-        F.count_if(_bad("vr", "vg", "vb", "va")).alias("motion_bad"),
-        F.count_if(_bad("m")).alias("matte_bad"),
-        F.count("r").alias("n_beauty"), F.count("vr").alias("n_motion"), F.count("m").alias("n_matte"),
-        F.count_if(~F.isnan("m") & ((F.col("m") < 0) | (F.col("m") > 1))).alias("matte_out"),
-        ((F.max("y") + 1) * (F.max("x") + 1)).alias("area"),
-    )
-    found = F.filter(
+def _frame_counts() -> dict[str, Column]:
+    """What has to be counted over the pixels of a frame to judge it."""
+    return {
+        "beauty_bad": F.count_if(_bad("r", "g", "b", "a")),
+        "motion_bad": F.count_if(_bad("vr", "vg", "vb", "va")),
+        "matte_bad": F.count_if(_bad("m")),
+        "n_beauty": F.count("r"), "n_motion": F.count("vr"), "n_matte": F.count("m"),
+        "matte_out": F.count_if(~F.isnan("m") & ((F.col("m") < 0) | (F.col("m") > 1))),
+        "area": (F.max("y") + 1) * (F.max("x") + 1),
+    }
+
+
+def _frame_violations() -> Column:
+    return F.filter(
         F.array(
             F.when(F.col("beauty_bad") > 0, F.lit("beauty must contain only finite values")),
             F.when(F.col("motion_bad") > 0, F.lit("motion must contain only finite values")),
@@ -80,7 +83,24 @@ def frame_quality(px: DataFrame) -> DataFrame:
         ),
         lambda v: v.isNotNull(),
     )
-    return stats.select("seq", "frame", found.alias("violations")).where(F.size("violations") > 0)
+
+
+def frame_quality(px: DataFrame) -> DataFrame:
+    """The violations of each frame; a pass without pixels at some place has another shape."""
+    stats = px.groupBy("seq", "frame").agg(*[c.alias(n) for n, c in _frame_counts().items()])
+    return stats.select("seq", "frame", _frame_violations().alias("violations")).where(F.size("violations") > 0)
+
+
+def checked_dims(px: DataFrame) -> DataFrame:
+    """``frame_dims`` plus ``input_error``: the first violation of the frame, from the same pass over the pixels."""
+    stats = px.groupBy("seq", "frame").agg(
+        (F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"), (F.max("m") > 0).alias("has_matte"),
+        F.count("*").alias("pixels"), (F.min(F.least("y", "x")) < 0).alias("outside"),
+        *[c.alias(n) for n, c in _frame_counts().items()],
+    )
+    misplaced = F.when(F.col("outside") | (F.col("pixels") > F.col("area")), F.lit("each pixel must be given once"))
+    error = F.coalesce(F.get(_frame_violations(), F.lit(0)), misplaced)
+    return stats.select("seq", "frame", "h", "w", F.coalesce("has_matte", F.lit(False)).alias("has_matte"), error.alias("input_error"))
 
 
 def history_quality(state: DataFrame, keys: tuple[str, ...] = ("run_id", "seq", "frame")) -> DataFrame:
@@ -92,6 +112,15 @@ def history_quality(state: DataFrame, keys: tuple[str, ...] = ("run_id", "seq",
     )
 
 
+def lines_usable() -> Column:
+    """B5 on packed lines (r g b a, k): whether this line may seed another frame."""
+    finite = F.lit(True)
+    for c in ("r", "g", "b", "a"):
+        finite = finite & F.forall(c, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    legal = F.forall("k", lambda v: v.isNotNull() & ~F.isnan(v) & v.between(0, 1))
+    return F.coalesce(finite & legal & (F.size("k") == F.col("w")), F.lit(False))
+
+
 # The numeric settings and their allowed ranges (None = unbounded).
 RANGES = {
     "trail_decay": (0.0, 1.0), "trail_motion_mix": (0.0, 1.0), "persistence": (0.0, 1.0),
@@ -112,16 +141,22 @@ def _range_reason(name: str, low, high) -> Column:
     return F.when(~finite, F.lit(f"{name} must be finite")).when(outside, F.lit(text))
 
 
-def settings_check(runs: DataFrame) -> DataFrame:
-    """The reasons each run row is invalid, empty when it is fine.
-
-    Optional columns ``matte_prefix, matte_extension, matte_padding`` are checked too.
-    """
+def setting_reasons() -> list[Column]:
+    """One column per rule on the settings of a run: the reason where it is broken, else null."""
     reasons = [_range_reason(n, *r) for n, r in RANGES.items()]
     reasons += [
         F.when(~F.coalesce(F.col(n).isin(*words), F.lit(False)), F.lit(f"{n} must be one of {', '.join(words)}"))
         for n, words in ENUMS.items()
     ]
+    return reasons
+
+
+def settings_check(runs: DataFrame) -> DataFrame:
+    """The reasons each run row is invalid, empty when it is fine.
+
+    Optional columns ``matte_prefix, matte_extension, matte_padding`` are checked too.
+    """
+    reasons = setting_reasons()
     for name in ("matte_prefix", "matte_extension"):
         if name in runs.columns:
             value, word = F.col(name), name.removeprefix("matte_")

@@ -40,7 +40,8 @@ def segments(
     ``frames`` has the keys, frame, h, w. A frame resets when it is the first, listed in ``resets``
     (keys or just seq, plus frame), or of another size under policy RESET. ``continues`` marks
     sequences whose first frame carries on from a stored state, so it does not reset by itself.
-    A gap in the frame numbers or a size change under ERROR stops the sequence there.
+    A gap in the frame numbers, a size change under ERROR or, where ``frames`` has the column, an
+    ``input_error`` stops the sequence there.
     """
     order = Window.partitionBy(*keys).orderBy("frame")
     listed = F.lit(False)
@@ -57,7 +58,8 @@ def segments(
         {
             "reset": listed | (resized & F.lit(policy == "RESET")) | (F.lit(False) if continues else first),
             "_stop": F.when(gap, F.lit("missing frame before"))
-            .when(resized & F.lit(policy != "RESET"), F.lit("resolution changed")),
+            .when(resized & F.lit(policy != "RESET"), F.lit("resolution changed"))
+            .otherwise(F.col("input_error") if "input_error" in frames.columns else F.lit(None).cast("string")),
         }
     )
     numbered = marked.withColumns(

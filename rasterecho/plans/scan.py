@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from ..model import SETTING_NAMES, assign_runs
 from ..operators.blocks import prepare_blocks
 from ..operators.diagnostics import frame_diag
-from ..operators.segments import frame_dims, segments, with_live
+from ..operators.quality import checked_dims, lines_usable, setting_reasons
+from ..operators.segments import segments, with_live
 from ..operators.step import KEY, Semantics, advance, clean_start, pack_lines, unpack_lines
 from .workspace import new_folder
 
@@ -56,22 +57,26 @@ def plan_frames(
     px: DataFrame, jobs: DataFrame, resets: DataFrame | None, policy: str, state: DataFrame | None,
 ) -> DataFrame:
     """One row per run and frame: which wave it belongs to and whether it can hold effect."""
-    dims = frame_dims(px)
-    frames = dims.join(jobs.select("run_id", "seq"), "seq")
+    dims = checked_dims(px)
+    bad_run = F.when(F.col("run_error").isNotNull(), F.concat(F.lit("invalid run: "), "run_error"))
+    checked = jobs.select("run_id", "seq", F.coalesce(*setting_reasons()).alias("run_error"))
+    frames = dims.join(checked, "seq").withColumn("input_error", F.coalesce(bad_run, "input_error")).drop("run_error")
     keys = ("run_id", "seq")
     if state is None:
         return with_live(segments(frames, resets, keys, policy=policy), keys).withColumn("seeded", F.lit(False))
     seeds = state.groupBy(*keys).agg(
-        F.max("frame").alias("_last"), F.max("h").alias("_h"), F.max("w").alias("_w")
+        F.max("frame").alias("_last"), F.max("h").alias("_h"), F.max("w").alias("_w"),
+        (F.bool_and(lines_usable()) & (F.count_distinct("frame", "y") == F.max("h"))).alias("_usable"),
     )
     known = frames.join(seeds, list(keys), "left")  # a pair without stored state starts clean
     # The stored frame takes part as the frame before the first, so size changes and gaps show.
     stored_frame = seeds.select(
         *keys, F.col("_last").alias("frame"), F.col("_h").alias("h"), F.col("_w").alias("w"),
         F.lit(True).alias("has_matte"), F.lit(True).alias("seeded"),
+        F.when(~F.col("_usable"), F.lit("stored history is not usable")).alias("input_error"),
     )
     rest = known.where(F.col("_last").isNull() | (F.col("frame") > F.col("_last"))).select(
-        *keys, "frame", "h", "w", "has_matte", F.lit(False).alias("seeded")
+        *keys, "frame", "h", "w", "has_matte", F.lit(False).alias("seeded"), "input_error"
     )
     return with_live(segments(stored_frame.unionByName(rest), resets, keys, policy=policy), keys)
 
@@ -85,7 +90,9 @@ def feedback_scan(
 
     ``runs`` are setting rows; ``assignments`` (run_id, seq) limits which run handles which sequence.
     ``state`` continues from stored lines instead of a clean start. ``max_waves`` stops at a frame
-    boundary and keeps what is finished. ``color=False`` follows trail coverage only.
+    boundary and keeps what is finished. ``color=False`` follows trail coverage only. A frame with an
+    illegal or missing pixel stops its sequence there; a run with an illegal setting and a pair whose
+    stored lines are damaged do nothing. All of them are rows of ``failures``.
     """
     spark = px.sparkSession
     root = new_folder(spark, "scan")
