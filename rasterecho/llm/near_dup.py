@@ -224,14 +224,14 @@ def _rest(members: DataFrame, labels: DataFrame, classes: DataFrame, documents:
     are bounded by members and by shingles. A component with over a chunk of members in a bucket has chunks of its own, which are not
     held against each other.
     """
-    named = members.join(labels, "cls", "left").select("key", "cls", F.coalesce("component", "cls").alias("component"))
+    named = keep(members.join(labels, "cls", "left").select("key", "cls", F.coalesce("component", "cls").alias("component")), "named")
     open_keys = keep(
         named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x != y AND n > 2").select("key"),
         "open",
     )
     if open_keys.isEmpty():
         return None
-    named = named.join(open_keys, "key").join(classes.select("cls", "signature", "n_shingles"), "cls")
+    named = keep(named.join(open_keys, "key").join(classes.select("cls", "n_shingles"), "cls"), "open-members")
     chunks_of = F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n_shingles") / CHUNK_SHINGLES))
     sizes = named.groupBy("key", "component").agg(F.count("*").alias("n"), chunks_of.alias("parts"))
     small = named.join(sizes.where(F.col("n") < CHUNK), ["key", "component"]).groupBy("key").agg(chunks_of.alias("small_parts"))
@@ -240,7 +240,7 @@ def _rest(members: DataFrame, labels: DataFrame, classes: DataFrame, documents:
         .withColumn("big", F.when(F.col("n") >= CHUNK, F.col("component")))
         .withColumn("part", F.pmod(F.xxhash64("cls"), F.when(F.col("n") >= CHUNK, F.col("parts")).otherwise(F.col("small_parts"))))
         .withColumn("chunk", F.struct(F.coalesce("big", F.lit(b"")).alias("big"), "part"))
-        .select("key", "big", "chunk", "cls", "component", "signature")
+        .join(classes.select("cls", "signature"), "cls").select("key", "big", "chunk", "cls", "component", "signature")
     )
     placed = keep(placed, "placed")
     chunks = placed.select("key", "chunk", "big").distinct()
@@ -268,7 +268,7 @@ def _star(members: DataFrame, labels: DataFrame | None) -> DataFrame:
         centers = members.groupBy("key").agg(F.max(best)["cls"].alias("center"))
         pairs = members.join(centers, "key").where("cls != center")
     else:
-        named = members.join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+        named = keep(members.join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls")), "named")
         tops = keep(named.groupBy("key", "component").agg(F.max(best).alias("top")), "tops")
         first = tops.groupBy("key").agg(F.max("top").alias("most"))
         second = tops.join(first, "key").where("top != most").groupBy("key").agg(F.max(F.struct("top", "component")).alias("c"))
