@@ -181,6 +181,19 @@ def test_licenses(spark, awkward, nothing):
     assert license_scan.scan(awkward, license_scan.templates(spark)).count() == license_scan.scan(nothing, license_scan.templates(spark)).count() == 0
 
 
+def test_license_needs_the_whole_template(spark):
+    """Part of a template is no license, wherever it is cut; a long template counts only with its span; no short tail matches alone."""
+    long = " ".join(f"l{i}" for i in range(53))
+    tail = " ".join(f"t{i}" for i in range(13))
+    known = spark.createDataFrame([*license_scan.TEMPLATES, ("long", long), ("tail", tail)], "license string, text string")
+    halves = [f"some {' '.join(w[a:z])} more" for _, t in (*license_scan.TEMPLATES, ("long", long), ("tail", tail)) if len(w := t.split()) > 9 for a, z in ((0, len(w) // 2 + 1), (len(w) // 2 - 1, len(w)))]
+    halves += ["under the Mozilla Public License, v 2.0", "t10 t11 t12", f"{' '.join(long.split()[:27])} {'x ' * 400}{' '.join(long.split()[26:])}"]
+    texts = halves + [f"{'y ' * n}{t}{' z' * n}" for n in range(40) for t in (tail, long)] + [long.replace("l20", "x").replace("l40", "x x x")]
+    got = {(r.doc_id, r.license): r.containment for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), known).collect()}
+    want = {(len(halves) + 2 * i + j, ("tail", "long")[j]): 1.0 for i in range(40) for j in (0, 1)} | {(len(texts) - 1, "long"): 45 / 51}
+    assert got == want
+
+
 def test_codes():
     rng = np.random.default_rng(1)
     for n in (0, 1, 8, 511, 512, 513, 5000):
