@@ -3,7 +3,9 @@
 A page is a sequence of tags and words. Each kind of token (a word by the block it stands in, a tag by its name) weighs the log odds
 of standing inside the content of the labelled pages below; one linear scan finds the contiguous region with the largest sum. The
 region grows to the element that holds all of it (not beyond a container that also holds other regions' boilerplate), and blocks inside
-it that are menus, adverts, forms, notices or comments by name are left out.
+it that are menus, adverts, forms, notices or comments by name are left out. A name is a whole class or id, and only a guess: a block so
+named is read after all if no article or main part has text and the block's own region far outweighs what is found elsewhere. No such
+block and no element around it hides the main part, or the articles that stand in the fewest of them.
 
 Edge cases: null, empty or wordless html gives an empty text; unclosed and stray tags are closed as they can be; a page cut off in a tag
 ends there; very long pages take linear time; repeated rows and extra columns change nothing.
@@ -38,9 +40,14 @@ _VOID = frozenset("area base br col embed hr img input link meta source track wb
 _INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 _NEVER = frozenset("head title script style noscript template nav footer aside form button select option textarea input iframe svg object dialog menu label".split())
 _CLOSED_BY_BLOCK = frozenset(["p"])
-_NAMED = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side|menu|nav\w*|breadcrumbs?|footer|comments?|respond|cookies?|consent|notice|popup|modal|newsletter|subscribe|share|sharing|social|related|widget|toolbar|login|search)(?:$|[\s_-])", re.I)
-_ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none", re.I)
+_NAME = r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side|menu|nav(?:bar|igation)?|breadcrumbs?|footer|comments?|respond|cookies?|consent|notice|popup|modal|newsletter|subscribe|share|sharing|social|related|widgets?|toolbar|login|search)"
+#: Parts of a class that say nothing against the name beside them, as in comment-list; has-sidebar or search-results name no boilerplate.
+_BESIDE = r"(?:site|top|bottom|main|box|bar|block|area|list|item|items|links?|icons?|buttons?|form|section|inner|post|posts|policy|slot|unit)"
+_NAMED = re.compile(rf"(?:^|\s)(?:{_BESIDE}[_-])*{_NAME}(?:[_-](?:{_NAME}|{_BESIDE}))*(?:$|\s)", re.I)
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+#: What a named block costs when it is read after all, and how many times the region elsewhere it must outweigh.
+NAMED_COST, NAMED_TIMES = 10.0, 3.0
 
 
 def tokens_of(page: str) -> list[tuple]:
@@ -124,29 +131,97 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return region
 
 
-def _boilerplate(token: tuple) -> bool:
-    return token[1] in _NEVER or bool(token[2]) and (any(_NAMED.search(a or b or c) for a, b, c in _ATTR.findall(token[2])) or bool(_HIDDEN.search(token[2])))
+HARD, SOFT = "hard", "soft"
+
+
+def _boilerplate(token: tuple) -> str | None:
+    """Whether an element is left out for what it is (HARD), or for what it seems to be by name (SOFT; forms may hold whole pages)."""
+    if token[1] in _NEVER and token[1] != "form":
+        return HARD
+    named = token[1] == "form"
+    for name, a, b, c in _ATTR.findall(token[2]):
+        name = name.lower()
+        if name == "hidden" or name == "style" and _NO_DISPLAY.search(a or b or c):
+            return HARD
+        named = named or name in ("class", "id", "role") and bool(_NAMED.search(a or b or c))
+    return SOFT if named else None
+
+
+class _Frames:
+    """The innermost boilerplate, article or main element of each token, and which of them are left out."""
+
+    def __init__(self, tokens: list[tuple]) -> None:
+        self.kind, self.parent, self.open_at, self.words, self.level = ["root"], [0], [-1], [0], [0]
+        self.of: list[int] = []
+        stack, depth, inside = [(0, 0)], 0, 0
+        for i, t in enumerate(tokens):
+            if t[0] == "open":
+                depth += 1
+                kind = t[1] if t[1] in ("article", "main") else None if t[1] in ("html", "body") else _boilerplate(t)
+                if t[1] in ("article", "main"):
+                    inside += 1
+                elif t[1] == "header" and not inside:
+                    kind = HARD
+                if kind:
+                    top = stack[-1][0]
+                    stack.append((len(self.kind), depth))
+                    self.kind.append(kind), self.parent.append(top), self.open_at.append(i), self.words.append(0)
+                    self.level.append(self.level[top] + (kind in (HARD, SOFT)))
+            self.of.append(stack[-1][0])
+            if t[0] == "word":
+                self.words[stack[-1][0]] += len(t[1].split())
+            elif t[0] == "close":
+                if stack[-1][1] == depth:
+                    stack.pop()
+                inside -= t[1] in ("article", "main")
+                depth -= 1
+        for f in range(len(self.kind) - 1, 0, -1):
+            self.words[self.parent[f]] += self.words[f]
+        text = [f for f, k in enumerate(self.kind) if k in ("article", "main") and self.words[f]]
+        least = min((0 if self.kind[f] == "main" else self.level[f] for f in text), default=0)
+        self.lifted = {f for f in text if self.kind[f] == "main" or self.level[f] == least}
+        #: An article that is not lifted counts to what it stands in.
+        self.owner, self.held = [0], [False]
+        for f in range(1, len(self.kind)):
+            self.owner.append(f if self.kind[f] in (HARD, SOFT) or f in self.lifted else self.owner[self.parent[f]])
+            self.held.append(self.kind[f] == HARD or f not in self.lifted and self.held[self.parent[f]])
+        self.read = {f for f in range(len(self.kind)) if f == 0 or f in self.lifted}
+
+    def skipped(self, i: int) -> bool:
+        return self.owner[self.of[i]] not in self.read
+
+    def scores(self, tokens: list[tuple], raw: list[float]) -> list[float]:
+        """Weights of the tokens; boilerplate by name weighs against the region with all that is in it."""
+        out = [min(w, -0.05 * (len(t[1].split()) if t[0] == "word" else 1)) if self.skipped(i) else w for i, (t, w) in enumerate(zip(tokens, raw, strict=True))]
+        for f in self.read:
+            if self.kind[f] == SOFT:
+                out[self.open_at[f]] -= NAMED_COST
+        return out
+
+    def outweighing(self, raw: list[float], elsewhere: float) -> int | None:
+        """The named block with the largest region of its own, if that is far larger than the one elsewhere."""
+        best, total = {}, {}
+        for i, w in enumerate(raw):
+            f = self.owner[self.of[i]]
+            if self.kind[f] == SOFT and f not in self.read and not self.held[self.parent[f]]:
+                total[f] = max(0.0, total.get(f, 0.0)) + w
+                best[f] = max(best.get(f, 0.0), total[f])
+        top = max(best, key=best.get, default=None)
+        return top if top is not None and best[top] - NAMED_COST > NAMED_TIMES * elsewhere else None
 
 
 def main_text(page: str | None, weights: Weights) -> str:
     tokens = tokens_of(page or "")
-    # Boilerplate by name weighs against the region with all that is in it.
-    scores, skipped, depth, until, inside = [], [], 0, None, 0
-    for t in tokens:
-        if t[0] == "open":
-            depth += 1
-            inside += t[1] in ("article", "main")
-            if until is None and t[1] not in ("html", "body", "article", "main") and (_boilerplate(t) or t[1] == "header" and not inside):
-                until = depth
-        skipped.append(until is not None)
-        w = weights(t)
-        scores.append(min(w, -0.05 * (len(t[1].split()) if t[0] == "word" else 1)) if skipped[-1] else w)
-        if t[0] == "close":
-            if until == depth:
-                until = None
-            depth -= 1
-            inside -= t[1] in ("article", "main")
-    first, end = best_region(scores)
+    frames, raw = _Frames(tokens), [weights(t) for t in tokens]
+    while True:
+        # Each block read makes the region over NAMED_TIMES as large, so there are few rounds.
+        scores = frames.scores(tokens, raw)
+        first, end = best_region(scores)
+        more = None if frames.lifted else frames.outweighing(raw, sum(scores[first:end]))
+        if more is None:
+            break
+        frames.read.add(more)
+    skipped = [frames.skipped(i) for i in range(len(tokens))]
     if first == end:
         return ""
     # The element that holds the region, if it is an article, a main part or another plain container below the body.

@@ -133,6 +133,27 @@ def test_pages_by_hand(page, text):
     assert html_text.main_text(page, html_text.Weights()) == text
 
 
+BODY = "".join(f"<p>The water rose in the night and people of the town number {i} left for the hills above it.</p>" for i in range(4))
+PLAIN = " ".join(f"The water rose in the night and people of the town number {i} left for the hills above it." for i in range(4))
+
+
+@pytest.mark.parametrize("attributes", ['class="content has-sidebar"', 'class="layout no-sidebar"', 'class="post comments-open"', 'id="search-results"', 'class="overflow-hidden"', 'aria-hidden="false"', 'class="page sidebar"', "id=social"])
+@pytest.mark.parametrize("inner", ["{}", "<article>{}</article>", "<main>{}</main>"])
+def test_wrappers_keep_their_text(attributes, inner):
+    """A layout class, or a name that turns out wrong, does not take the text of a page with it."""
+    page = f"<body><nav><a>Home</a></nav><div {attributes}>{inner.format(BODY + '<div class=ad>Buy now</div>')}</div><footer>f</footer></body>"
+    assert html_text.main_text(page, html_text.Weights()) == PLAIN
+
+
+@pytest.mark.parametrize("beside", [
+    "<div hidden>" + BODY + "</div>", "<div style='color:red; display: none'>" + BODY + "</div>", "<aside>" + BODY * 5 + "</aside>",
+    "<div class=comment-list><article><p>Nice post of you, and all of it is true.</p></article></div>", "<div class='x comments'>" + BODY * 9 + "</div>", "<div class=nav-menu><p>One two three.</p></div>",
+])
+def test_beside_the_text_stays_out(beside):
+    for page in (f"<div><article>{BODY}</article>{beside}</div>", f"<form id=f><main>{BODY}{beside}</main></form>", f"<div class=sidebar><article>{BODY}</article>{beside}</div>"):
+        assert html_text.main_text(page, html_text.Weights()) == PLAIN
+
+
 def test_best_region():
     assert html_text.best_region([-1, 2, -1, 3, -5, 4]) == (1, 4)
     assert html_text.best_region([-1.0]) == (0, 0)
