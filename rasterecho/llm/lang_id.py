@@ -5,7 +5,9 @@ probabilities give each byte an exact code length under each language: the longe
 longer known context adds its escape. A text goes to the language that codes it shortest.
 
 The trees are one table: rows are contexts known to any language (a text's bytes lead to the longest), columns bytes, values the code
-lengths under all languages. Contexts seen least are left out until it fits ``TABLE_BYTES``, which bounds what is broadcast.
+lengths under all languages. It holds at most ``TABLE_BYTES``, or ``LANGUAGE_BYTES`` for each language if that is more, which bounds
+what is broadcast: shorter contexts come first, and of the first order that does not fit the contexts seen least are left out.
+``Model.kept`` says how many of each order stayed of how many.
 
 Bytes are folded first: A-Z to a-z, digits to one class, control and white space to one, other ASCII signs to one; the choice inside
 a class costs the same in every language.
@@ -26,9 +28,9 @@ from pyspark.sql import functions as F
 from .textbytes import slabs
 
 ORDER = 3
-#: Bounds of the sample that trains a language: documents, and characters of each (longer documents are not drawn).
+#: Bounds of the sample that trains a language: documents, and characters of each (of longer ones an excerpt at a hashed place).
 SAMPLE_DOCUMENTS, SAMPLE_CHARS = 300, 20_000
-TABLE_BYTES = 48_000_000
+TABLE_BYTES, LANGUAGE_BYTES = 48_000_000, 4_000_000
 #: A label column with more values is no language column, and is refused.
 MOST_LANGUAGES = 1000
 
@@ -86,9 +88,14 @@ class Model:
             for k in range(ORDER + 1):
                 slot = full[k].setdefault(sum(c << (8 * j) for j, c in enumerate(context[:k])), {})
                 slot[byte, lang_of[lang]] = slot.get((byte, lang_of[lang]), 0) + n
-        room = max(1, TABLE_BYTES // (4 * width * n_langs))
-        longest = sorted(full[ORDER], key=lambda c: (-sum(full[ORDER][c].values()), c))[: max(0, room - sum(len(f) for f in full[:ORDER]))]
-        full[ORDER] = {c: full[ORDER][c] for c in longest}
+        room = max(1, max(TABLE_BYTES, LANGUAGE_BYTES * n_langs) // (4 * width * n_langs))
+        self.kept = []
+        for k in range(ORDER + 1):
+            # An order is cut only if the shorter ones are whole, so the shorter context of each is in the table.
+            most = sorted(full[k], key=lambda c: (-sum(full[k][c].values()), c))[:room]  # noqa: B023
+            self.kept.append((len(most), len(full[k])))
+            room = room - len(most) if len(most) == len(full[k]) else 0
+            full[k] = {c: full[k][c] for c in most}
         # Order -1: every byte the same.
         lengths = {None: np.full((width, n_langs), np.log2(256), np.float32)}
         table, self.rows = [], {}
@@ -144,9 +151,11 @@ class Model:
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id") -> Model:
-    """Learn from at most ``SAMPLE_DOCUMENTS`` documents of each language, drawn by the hash of their key."""
+    """Learn from at most ``SAMPLE_DOCUMENTS`` documents of each language, drawn by the hash of their key, whatever their length."""
     drawn = F.xxhash64(key_col).bitwiseAND(F.lit(2**40 - 1))
-    usable = labelled.where(F.col(lang_col).isNotNull() & (F.length(text_col) <= SAMPLE_CHARS))
+    usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    spare = F.greatest(F.length(text_col) - SAMPLE_CHARS, F.lit(0))
+    excerpt = F.substring(F.col(text_col), F.pmod(F.xxhash64(F.lit(1), key_col), spare + 1).cast("int") + 1, F.lit(SAMPLE_CHARS))
     # One row for each language goes through the driver, and no text is shuffled but the sample.
     counts = {r[0]: r[1] for r in usable.groupBy(lang_col).count().limit(MOST_LANGUAGES + 1).collect()}
     if len(counts) > MOST_LANGUAGES:
@@ -154,7 +163,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", k
     shares = [F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, SAMPLE_DOCUMENTS / n))]
     share = F.element_at(F.create_map(*shares), F.col(lang_col)) if shares else F.lit(0.0)
     # About SAMPLE_DOCUMENTS rows of each language pass, whatever the size of the corpus; the rank then makes the bound strict.
-    passed = usable.where(drawn < share * float(2**40)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), drawn.alias("drawn"))
+    passed = usable.where(drawn < share * float(2**40)).select(F.col(lang_col).alias("lang"), excerpt.alias("text"), drawn.alias("drawn"))
     chosen = passed.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("drawn", "text"))).where(F.col("rank") <= SAMPLE_DOCUMENTS)
     grams = chosen.select("lang", "text").mapInArrow(_counts, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n"))
     return Model([tuple(r) for r in grams.collect()])

@@ -350,6 +350,36 @@ def test_language_edges(spark, awkward, nothing):
     assert lang_id.identify(nothing, model).count() == 0
 
 
+def test_languages_of_long_documents(spark):
+    """A language whose documents are all long is learned, from excerpts; a document of its own length is told by it."""
+    random.seed(8)
+    letters = {"short": "abcdefg", "long": "opqrstu"}
+    make = lambda lang, n: "".join(random.choice(letters[lang] + " ") for _ in range(n))
+    rows = [(i, make("short", 500), "short") for i in range(5)] + [(10 + i, make("long", lang_id.SAMPLE_CHARS + 1 + 4000 * i), "long") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = lang_id.train(df)
+    assert model.langs == ["long", "short"]
+    assert {r.doc_id: r.lang_pred for r in lang_id.identify(df, model).collect()} == {i: lang for i, _, lang in rows}
+
+
+def test_language_table_is_bounded(monkeypatch):
+    """Every order is cut when it must be, and what is left is said."""
+    rng = np.random.default_rng(3)
+    rows = [(f"l{x}", int(g), 1) for x in range(3) for g in np.unique(rng.integers(97, 117, (3000, 4)) @ (256 ** np.arange(4)))]
+    whole = lang_id.Model(rows)
+    assert whole.kept[0] == (1, 1) and all(n == of for n, of in whole.kept)
+    row = 4 * whole.width * 3
+    for rooms, kept in ((10, [1, 9, 0, 0]), (100, [1, 20, 79, 0]), (500, [1, 20, 400, 79])):
+        monkeypatch.setattr(lang_id, "TABLE_BYTES", rooms * row)
+        monkeypatch.setattr(lang_id, "LANGUAGE_BYTES", 0)
+        model = lang_id.Model(rows)
+        assert model.table.nbytes <= rooms * row and [n for n, _ in model.kept] == kept
+        data = np.frombuffer(b"abcdefgh", np.uint8)
+        assert np.isfinite(model.bits_of(data, np.array([0, 8]))).all()
+    monkeypatch.setattr(lang_id, "LANGUAGE_BYTES", 200 * row)
+    assert lang_id.Model(rows).table.nbytes == 600 * row
+
+
 def test_pipeline(spark):
     """Each stage on its own input, by plain Python where its decision can be stated so."""
     import corpus_pipeline as P
