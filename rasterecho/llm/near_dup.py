@@ -315,11 +315,12 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def drop_near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input without all but one document of each group. Rows that share a kept id leave one row."""
-    rows = near_duplicates(documents, id_col, text_col).where("kept").groupBy(id_col).agg(F.count("*").alias("__n"))
-    rows = keep(rows, "kept").withColumnRenamed(id_col, "__id")
-    held = lambda n: documents.join(rows.where(n), documents[id_col].eqNullSafe(rows["__id"])).select(*(documents[c] for c in documents.columns))
-    once = held("__n = 1")
-    if rows.where("__n > 1 AND __id IS NOT NULL").isEmpty():
-        return once.union(held("__n > 1 AND __id IS NULL"))
-    return once.union(held("__n > 1 AND __id IS NOT NULL").dropDuplicates([id_col])).union(held("__n > 1 AND __id IS NULL"))
+    """The input without all but one row of each group: that with the smallest id (null last), of equal ids the first row.
+
+    Rows are told apart by a written key, as ids may repeat or be null.
+    """
+    place = "__at"
+    rows = keep(documents.withColumn(place, F.monotonically_increasing_id()), "rows")
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(place).alias("at"))
+    kept = near_duplicates(rows.select(key.alias("__key"), F.col(text_col)), "__key", text_col).where("kept")
+    return rows.join(kept.select(F.col("__key.at").alias(place)), place, "left_semi").select(documents.columns)

@@ -260,6 +260,22 @@ def test_near_duplicates(spark, awkward, nothing):
     assert kept.columns == awkward.columns and kept.where("text = 'one'").count() == 1
 
 
+def test_one_row_of_each_group(spark):
+    """Rows that share an id, or have none, are kept or dropped each for its own text."""
+    text = {c: " ".join(f"{c}{i}" for i in range(60)) for c in "abcdef"}
+    rows = [
+        (7, text["a"]), (7, text["b"]),  # one id, two clean documents
+        (1, text["c"]), (8, text["c"] + " x"), (8, text["d"]),  # one of id 8 is a near copy of id 1, the other is clean
+        (None, text["e"]), (None, text["e"] + " x"), (None, text["e"]),  # a group without any id
+        (None, text["d"]), (None, text["f"]), (9, text["f"] + " x"), (5, ""), (5, ""), (None, None),
+    ]
+    got = near_dup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)).collect()
+    want = [(7, text["a"]), (7, text["b"]), (1, text["c"]), (8, text["d"]), (9, text["f"] + " x"), (5, ""), (5, ""), (None, None)]
+    of_e = [r for r in got if (r.text or "").startswith("e0 ")]
+    assert len(of_e) == 1 and of_e[0].doc_id is None
+    assert sorted((tuple(r) for r in got if r not in of_e), key=repr) == sorted(want, key=repr)
+
+
 def test_components(spark):
     chain = [(bytes([i]), bytes([i + 1])) for i in range(60)] + [(b"x", b"y"), (b"z", b"z")]
     got = {r.cls: r.component for r in near_dup.components(spark.createDataFrame(chain, "a binary, b binary")).collect()}
