@@ -92,13 +92,24 @@ def frame_quality(px: DataFrame) -> DataFrame:
 
 
 def checked_dims(px: DataFrame) -> DataFrame:
-    """``frame_dims`` plus ``input_error``: the first violation of the frame, from the same pass over the pixels."""
-    stats = px.groupBy("seq", "frame").agg(
-        (F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"), (F.max("m") > 0).alias("has_matte"),
-        F.count("*").alias("pixels"), (F.min(F.least("y", "x")) < 0).alias("outside"),
-        *[c.alias(n) for n, c in _frame_counts().items()],
+    """``frame_dims`` plus ``input_error``: the first violation of the frame, from the same pass over the pixels.
+
+    Pixels are counted per line, as totals of a frame cannot tell a hole beside a repeated pixel: each of ``h`` lines must hold
+    ``w`` different places from 0 to ``w - 1``, once each.
+    """
+    counts = {n: c for n, c in _frame_counts().items() if n != "area"}
+    lines = px.groupBy("seq", "frame", "y").agg(
+        F.min("x").alias("_low"), F.max("x").alias("_high"), F.count("*").alias("_n"), F.size(F.collect_set("x")).alias("_places"),
+        F.max("m").alias("_m"), *[c.alias(n) for n, c in counts.items()],
+    )
+    stats = lines.groupBy("seq", "frame").agg(
+        (F.max("y") + 1).alias("h"), (F.max("_high") + 1).alias("w"), (F.max("_m") > 0).alias("has_matte"),
+        (F.min(F.least("y", "_low")) < 0).alias("outside"), F.count("*").alias("_lines"),
+        F.bool_and(F.col("_n") == F.col("_places")).alias("_once"), F.min("_places").alias("_least"),
+        ((F.max("y") + 1) * (F.max("_high") + 1)).alias("area"), *[F.sum(n).alias(n) for n in counts],
     )
-    misplaced = F.when(F.col("outside") | (F.col("pixels") > F.col("area")), F.lit("each pixel must be given once"))
+    whole = F.col("_once") & (F.col("_least") == F.col("w")) & (F.col("_lines") == F.col("h"))
+    misplaced = F.when(F.col("outside") | ~F.coalesce(whole, F.lit(False)), F.lit("each pixel must be given once"))
     error = F.coalesce(F.get(_frame_violations(), F.lit(0)), misplaced)
     return stats.select("seq", "frame", "h", "w", F.coalesce("has_matte", F.lit(False)).alias("has_matte"), error.alias("input_error"))
 

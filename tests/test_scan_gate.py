@@ -5,6 +5,7 @@ import pytest
 from rasters import gray, px_frame, px_rows, state_lines
 
 from rasterecho.model import EXTREME, run_row
+from rasterecho.operators.quality import checked_dims
 from rasterecho.plans.scan import feedback_scan
 
 
@@ -44,6 +45,24 @@ def test_bad_frames_and_runs(spark):
     assert done == {("a", s, 1) for s in SPOILT} | {("a", "good", 1), ("a", "good", 2)}
 
 
+BALANCED = {
+    "same line": lambda rows: rows.iloc[[0, 1, 2, 2, 4, 5, 6, 7]],
+    "other line": lambda rows: rows.iloc[[0, 1, 2, 4, 4, 5, 6, 7]],
+    "moved out": lambda rows: rows.assign(x=[0, 1, 2, 3, -1, 1, 2, 3]),
+}
+
+
+def test_holes_beside_repeats(spark):
+    """A pixel missing and another repeated leave the totals of a frame as they should be."""
+    px = px_frame(spark, *clip("good"), *[f for name, spoil in BALANCED.items() for f in clip(name, spoil=spoil, at=2)])
+    result = feedback_scan(px, [run_row("a", **EXTREME)])
+    assert {(r.seq, r.frame, r.reason) for r in result.failures.collect()} == {(name, 2, "each pixel must be given once") for name in BALANCED}
+    done = {(r.seq, r.frame) for r in result.lines.select("seq", "frame").distinct().collect()}
+    assert done == {(s, 1) for s in BALANCED} | {("good", 1), ("good", 2)}
+    line_for_line = clip("lines", 1)[0].assign(y=[0] * 4 + [2] * 4).iloc[[*range(8), 0, 1, 2, 3]]
+    assert [r.input_error for r in checked_dims(px_frame(spark, line_for_line)).collect()] == ["each pixel must be given once"]
+
+
 def test_no_wave_at_all(spark):
     result = feedback_scan(px_frame(spark, *clip("s")), [run_row("a")], max_waves=0)
     assert result.waves == 0 and result.lines.count() == 0 and result.failures.count() == 0
