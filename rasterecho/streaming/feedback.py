@@ -24,6 +24,7 @@ class StreamTables:
 
     ``arrived``: pixels in order of arrival, one folder per batch. ``batches``: the finished frames and the
     state after each batch, one folder per batch id, so a repeated batch replaces its own rows only.
+    ``failures``: what stood still after each batch, and why, in folders of the same kind.
     """
 
     root: str
@@ -39,6 +40,13 @@ class StreamTables:
     def batches(self) -> str:
         return f"{self.root}/batches"
 
+    def failed(self, batch_id: int) -> str:
+        return f"{self.root}/failures/batch={batch_id}"
+
+    @property
+    def failures(self) -> str:
+        return f"{self.root}/failures"
+
 
 def stream_feedback(
     frames: DataFrame, tables: StreamTables, runs: list[dict[str, object]], checkpoint: str,
@@ -47,7 +55,10 @@ def stream_feedback(
     """Each trigger advances every sequence over the frames that are now contiguous.
 
     A frame that arrives after a gap waits until the gap is filled. State lives in files, so the stream
-    can stop and start again from its checkpoint.
+    can stop and start again from its checkpoint. Each batch also writes a row for every sequence that
+    stands still: at a bad frame or an invalid run as the scan gives them, at a gap, and at a first frame
+    other than ``first_frame`` (``failed_sequences``). A bad frame is looked at again in each batch, as
+    the rest of its pixels may have arrived.
     """
 
     def advance(batch: DataFrame, batch_id: int) -> None:
@@ -76,17 +87,46 @@ def finished_frames(spark: SparkSession, tables: StreamTables, before: int | Non
     return done if done is None or before is None else done.where(F.col("batch") < before)
 
 
+FAILURE = "run_id string, seq string, frame int, reason string"
+
+
+def failed_sequences(spark: SparkSession, tables: StreamTables, batch_id: int | None = None) -> DataFrame:
+    """(run_id, seq, frame, reason) of each sequence that stands still after the given batch, or after the newest."""
+    found = _table(spark, tables.failures, f"{FAILURE}, batch int")
+    if found is None:
+        return spark.createDataFrame([], FAILURE)
+    if batch_id is None:
+        # A batch without failures has no row to tell it from one not run: the folders do.
+        folder = spark._jvm.org.apache.hadoop.fs.Path(tables.failures)
+        listed = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+        batch_id = max(int(f.getPath().getName().removeprefix("batch=")) for f in listed if f.getPath().getName().startswith("batch="))
+    return found.where(F.col("batch") == batch_id).drop("batch")
+
+
+def _waiting(ready: DataFrame, runs: list[dict[str, object]], first_frame: int) -> DataFrame:
+    """A row per run for each sequence with arrived frames beyond those that are ready."""
+    early = F.format_string(f"frame %d lies before the first frame {first_frame}", "stray_frame")
+    gap = F.format_string("frame %d has not arrived, later ones wait", F.col("_ready") + 1)
+    names = F.explode(F.array(*[F.lit(r["run_id"]) for r in runs]))
+    return ready.where(F.col("stray_frame").isNotNull()).select(
+        names.alias("run_id"), "seq", F.col("stray_frame").cast("int").alias("frame"),
+        F.when(F.col("stray_frame") < first_frame, early).otherwise(gap).alias("reason"),
+    )
+
+
 def step(spark: SparkSession, tables: StreamTables, runs: list[dict[str, object]], batch_id: int, first_frame: int) -> None:
     """One trigger: find the ready frames, continue from the stored state, write this batch's frames."""
     known = spark.read.schema(f"{PX_SCHEMA.simpleString()[7:-1].replace(':', ' ')}, batch int").parquet(tables.arrived)
     px = known.where(F.col("batch") <= batch_id).drop("batch")
     frames = px.select("seq", "frame").distinct()
-    ready = complete_prefix(as_catalog(frames), first_frame).select("seq", (F.col("prefix_length") + first_frame - 1).alias("_ready"))
+    ready = complete_prefix(as_catalog(frames), first_frame).select(
+        "seq", (F.col("prefix_length") + first_frame - 1).cast("int").alias("_ready"), "stray_frame"
+    )
     done = finished_frames(spark, tables, batch_id)
-    open_frames = px.join(ready, "seq").where(F.col("frame") <= F.col("_ready")).drop("_ready")
+    open_frames = px.join(ready.drop("stray_frame"), "seq").where(F.col("frame").between(first_frame, F.col("_ready"))).drop("_ready")
     parts = []
     if done is None or done.isEmpty():
-        parts.append(feedback_scan(open_frames, runs).lines)
+        parts.append(feedback_scan(open_frames, runs))
     else:
         newest = done.groupBy("run_id", "seq").agg(F.max("frame").alias("frame"))
         last = done.join(newest, ["run_id", "seq", "frame"], "left_semi").select(
@@ -96,11 +136,16 @@ def step(spark: SparkSession, tables: StreamTables, runs: list[dict[str, object]
         later = open_frames.join(reached, "seq").where(F.col("frame") > F.col("_reached")).drop("_reached")
         fresh = open_frames.join(reached, "seq", "left_anti")
         if not later.isEmpty():
-            parts.append(feedback_scan(later, runs, state=last).lines)
+            parts.append(feedback_scan(later, runs, state=last))
         if not fresh.isEmpty():
-            parts.append(feedback_scan(fresh, runs).lines)
-    for i, lines in enumerate(parts):
-        lines.write.mode("overwrite" if i == 0 else "append").parquet(tables.batch(batch_id))
+            parts.append(feedback_scan(fresh, runs))
+    failures = _waiting(ready, runs, first_frame)
+    for part in parts:
+        failures = failures.unionByName(part.failures.select(*failures.columns))
+    # The failures first: once the lines are there, the frames count as done.
+    failures.write.mode("overwrite").parquet(tables.failed(batch_id))
+    for i, part in enumerate(parts):
+        part.lines.write.mode("overwrite" if i == 0 else "append").parquet(tables.batch(batch_id))
 
 
 def as_catalog(frames: DataFrame) -> DataFrame:
