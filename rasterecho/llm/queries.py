@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, lang_id, license_scan, mixing, near_dup, pii, quality, token_file, url_filter
+from . import decontaminate, fim, html_text, lang_id, license_scan, mixing, near_dup, pii, quality, spelling, token_file, url_filter
 from .tokenizers import word_tokenizer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,3 +145,15 @@ def main_texts(spark, sf_dir):
 @query("op4_personal_data")
 def personal_data(spark, sf_dir):
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
+@query("op12_fill_in_middle")
+def fill_in_middle(spark, sf_dir):
+    made = fim.transform(table(spark, sf_dir, "documents")).withColumn("restored", fim.restored())
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output"), digest("restored"))
+
+
+@query("op13_spelling_variants")
+def spelling_variants(spark, sf_dir):
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
