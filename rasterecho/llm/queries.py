@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fim, html_text, lang_id, license_scan, mixing, near_dup, pii, quality, spelling, token_file, url_filter
+from . import decontaminate, fim, html_text, lang_id, license_scan, mixing, near_dup, pii, quality, set_join, spelling, token_file, url_filter
 from .tokenizers import word_tokenizer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +157,8 @@ def fill_in_middle(spark, sf_dir):
 @query("op13_spelling_variants")
 def spelling_variants(spark, sf_dir):
     return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
+
+
+@query("op11_ngram_join")
+def ngram_join(spark, sf_dir):
+    return set_join.similar_sets(table(spark, sf_dir, "documents"))

@@ -14,16 +14,16 @@ ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def shingles(text):
+def shingles(text, size=5):
     words = WORD.findall((text or "").translate(LOWER))
     if not words:
         return set()
-    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
 
 
-def near_duplicates(rows):
+def near_duplicates(rows, size=5, percent=75):
     """rows: (id, text). By an inverted index of shingles."""
-    sets = [shingles(t) for _, t in rows]
+    sets = [shingles(t, size) for _, t in rows]
     parent = list(range(len(rows)))
 
     def root(i):
@@ -39,7 +39,7 @@ def near_duplicates(rows):
                 shared[j] += 1
             where[x].append(i)
         for j, n in shared.items():
-            if 100 * n >= 75 * (len(s) + len(sets[j]) - n):
+            if 100 * n >= percent * (len(s) + len(sets[j]) - n):
                 a, b = root(i), root(j)
                 parent[max(a, b)] = min(a, b)
     least = defaultdict(lambda: 1 << 62)

@@ -14,7 +14,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 import brute  # noqa: E402
 from test_operators import AWKWARD, KIND, SF, awkward, documents, nothing, rows_of  # noqa: E402, F401
 
-from rasterecho.llm import fim, spelling  # noqa: E402
+from rasterecho.llm import fim, set_join, spelling  # noqa: E402
 from rasterecho.llm.queries import QUERIES  # noqa: E402
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -124,3 +124,89 @@ def test_spelling_edges(spark, awkward, nothing):  # noqa: F811
     assert spelling.variants(spelling.vocabulary(nothing)).count() == 0
     assert spelling.variants(spelling.vocabulary(awkward)).columns == ["word", "form", "root", "n", "n_near", "form_n"]
     assert spelling.vocabulary(awkward.where("doc_id = 3")).count() == 0
+
+
+# --- n-gram join -----------------------------------------------------------------------------------
+
+
+def crowd():
+    """A large group of near copies around the limit, chains, a passage that many share, copies, tiny and awkward texts."""
+    random.seed(12)
+    words = [f"w{i}" for i in range(3000)]
+    base = random.choices(words, k=240)
+    rows = []
+    for i in range(90):
+        copy = list(base)
+        for _ in range(random.randint(0, 5)):
+            copy[random.randrange(240)] = random.choice(words)
+        rows.append((1000 + i, " ".join(copy)))
+    passage = random.choices(words, k=100)
+    rows += [(2000 + i, " ".join(passage + random.choices(words, k=random.randint(0, 30)))) for i in range(80)]
+    chain = random.choices(words, k=200)
+    rows += [(3000 + i, " ".join(chain[4 * i : 4 * i + 120])) for i in range(20)]
+    rows += [(4000 + i, rows[i % 7][1].upper()) for i in range(40)]
+    rows += [(5000 + i, " ".join(random.choices("abc", k=random.randint(0, 14)))) for i in range(200)]
+    return rows + [(6000 + i, t) for i, t in enumerate(AWKWARD)]
+
+
+def links_of(rows):
+    return sorted((r[:3] for r in brute.near_duplicates(rows, 3, 90)), key=repr)
+
+
+def test_ngram_join(spark):
+    rows = documents(spark)
+    assert rows_of(QUERIES["op11_ngram_join"](spark, SF), "doc_id", "n_shingles", "component_id") == links_of(rows)
+
+
+@pytest.mark.parametrize(("part", "common", "stars"), [(512, 50, 2), (3, 5, 1)])
+def test_ngram_join_of_a_crowd(spark, monkeypatch, part, common, stars):
+    """Also with few members to a part, many common shingles, and a single star, so that the blocks must find the rest."""
+    monkeypatch.setattr(set_join, "PART", part)
+    monkeypatch.setattr(set_join, "LEAST_COMMON", common)
+    monkeypatch.setattr(set_join, "STARS", stars)
+    rows = crowd()
+    want = links_of(rows)
+    assert len({r[2] for r in want}) < len(rows) - 150
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert rows_of(set_join.similar_sets(df), "doc_id", "n_shingles", "component_id") == want
+
+
+def test_ngram_join_edges(spark, awkward, nothing):  # noqa: F811
+    got = rows_of(set_join.similar_sets(awkward), "doc_id", "n_shingles", "component_id")
+    assert len(got) == awkward.count()
+    assert got.count((3, 1, 3)) == 3 and (0, 0, 0) in got and (1, 0, 1) in got and (6, 1, 6) in got
+    assert set_join.similar_sets(nothing).count() == 0
+
+
+def test_bitmaps_never_rule_out_a_link():
+    rng = np.random.default_rng(8)
+    for n in (1, 3, 9, 30, 300, 2000):
+        for _ in range(40):
+            x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            gone = rng.random(len(x)) < rng.random() * 0.15
+            y = np.unique(np.concatenate([x[~gone], rng.integers(0, 2**63, int(rng.integers(0, n // 10 + 2))).astype(np.uint64)]))
+            if not len(y):
+                continue
+            a, b = set_join.bitmap(x), set_join.bitmap(y)
+            least = min(len(a), len(b))
+            bits = int(np.bitwise_count(set_join.fold(a, least) ^ set_join.fold(b, least)).sum())
+            both = len(np.intersect1d(x, y))
+            assert bits <= len(x) + len(y) - 2 * both
+            links = 100 * both >= 90 * (len(x) + len(y) - both)
+            assert links == bool(set_join.may_link(len(x), len(y), len(x) + len(y) - 2 * both))
+            if links:
+                assert len(np.intersect1d(x[: set_join.listed(len(x))], y[: set_join.listed(len(y))]))
+
+
+def test_answers_are_derived():
+    """Answers equal those counted afresh, and similar sets in a row look up only what differs."""
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 2**63, 900).astype(np.uint64)
+    block = [np.unique(rng.choice(pool, 300)) for _ in range(20)]
+    answers, base = set_join.Answers(block), np.unique(rng.choice(pool, 500))
+    asked = 0
+    for i in range(30):
+        s = np.sort(np.delete(base, [i, i + 40])) if i != 15 else np.unique(rng.choice(pool, 100))
+        asked += len(s)
+        assert answers(s).tolist() == [len(np.intersect1d(s, b)) for b in block]
+    assert answers.looked_up < asked / 4
