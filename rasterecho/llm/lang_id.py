@@ -31,6 +31,8 @@ ORDER = 3
 #: Bounds of the sample that trains a language: documents, and characters of each (of longer ones an excerpt at a hashed place).
 SAMPLE_DOCUMENTS, SAMPLE_CHARS = 300, 20_000
 TABLE_BYTES, LANGUAGE_BYTES = 48_000_000, 4_000_000
+#: Bytes of text that are scored at once; scoring takes some tens of times as much memory.
+SLAB_BYTES = 256_000
 #: A label column with more values is no language column, and is refused.
 MOST_LANGUAGES = 1000
 
@@ -179,25 +181,25 @@ def identify(documents: DataFrame, model: Model, id_col: str = "doc_id", text_co
     taken = documents.columns if keep_columns else [id_col]
     kinds = [(f"__c{i}", documents.schema[c].dataType) for i, c in enumerate(taken)]
     verdicts = ["lang_pred", "score", "bits_per_byte"]
+    # Every column once: the text is one of those kept, or comes last.
+    place = taken.index(text_col) if text_col in taken else len(taken)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in batches:
-            has_letter, langs, scores, rates = batch.column(1).to_pylist(), [], [], []
-            for row, end, data, offsets in slabs(batch.column(0), 2_000_000):
+            for row, end, data, offsets in slabs(batch.column(1 + place), SLAB_BYTES):
                 bits = m.bits_of(data, offsets)
-                best, least = bits.argmin(axis=1), bits.min(axis=1)
+                least = bits.min(axis=1)
                 share = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(axis=1)
                 rate = least / np.maximum(1, np.diff(offsets))
-                for i in range(end - row):
-                    known = bool(has_letter[row + i]) and bool(m.langs)
-                    langs.append(m.langs[best[i]] if known else "und")
-                    scores.append(float(share[i]) if known else 0.0)
-                    rates.append(float(rate[i]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())], [*(k for k, _ in kinds), *verdicts])
+                part = batch.slice(row, end - row)
+                known = np.array(part.column(0).to_pylist(), bool) & bool(m.langs)
+                langs = [m.langs[i] if k else "und" for i, k in zip(bits.argmin(axis=1), known, strict=True)]
+                found = [pa.array(langs, pa.string()), pa.array(np.where(known, share, 0.0)), pa.array(np.where(known, rate, 0.0))]
+                yield pa.RecordBatch.from_arrays([*part.columns[1 : 1 + len(kinds)], *found], [*(k for k, _ in kinds), *verdicts])
 
     letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    rows = documents.select(F.col(text_col).alias("__text"), letter.alias("__letter"), *(F.col(c).alias(k) for c, (k, _) in zip(taken, kinds, strict=True)))
+    rows = documents.select(letter.alias("__letter"), *(F.col(c).alias(k) for c, (k, _) in zip(taken, kinds, strict=True)), *([] if text_col in taken else [F.col(text_col).alias("__text")]))
     schema = ", ".join(f"{k} {t.simpleString()}" for k, t in kinds) + ", lang_pred string, score double, bits_per_byte double"
     scored = rows.mapInArrow(score, schema).withColumnsRenamed({k: c for c, (k, _) in zip(taken, kinds, strict=True)})
     return scored.withColumn("accepted", (F.col("lang_pred") != "und") & (F.col("bits_per_byte") < 8))
