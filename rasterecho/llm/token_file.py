@@ -20,17 +20,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import keep
+from .textbytes import slabs
 
 CHUNK_BITS = 8
 SEGMENT_TOKENS = 500_000
 END_ID = 1
 BLOCK = 512
-#: Words whose ids a worker remembers.
-MEMORY = 600_000
+#: Bytes that a worker's memory of pieces and their ids may take, about: two halves, the older of which goes when the newer is full.
+MEMORY_BYTES = 150_000_000
+#: Bytes of text that are encoded at once.
+SLAB_BYTES = 4_000_000
 _HEAD = struct.Struct("<4sBQ")
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.int64)
 
@@ -106,7 +110,8 @@ class Codes:
 
 class WordEncoder:
     """Ids of whole texts. The tokenizer drops white space and splits at it, so a text's ids are those of its pieces between ASCII
-    spaces and line ends, one after another; a worker looks up pieces that it has met.
+    spaces and line ends, one after another. Arrow splits many texts at once and numbers their distinct pieces; a worker looks those up
+    among the pieces that it has met, and numpy gathers the ids of all places.
 
     A new piece of letters and closing commas or stops is the ids of its lower-cased letters, then those of the signs. New words of
     letters are encoded together in one text; an id that ends a word (its entry ends so in the vocabulary) parts them again. If the
@@ -119,13 +124,19 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
         self.run = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for entry, i in vocabulary.items():
             self.ends[i] = entry.endswith(self.WORD_END)
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.bytes = 0
+
+    def _remember(self, pieces: dict[str, bytes]) -> None:
+        self.known |= pieces
+        # A dictionary's slot, the heads of a string and of a bytes object, and what they hold.
+        self.bytes += sum(map(len, pieces)) + sum(map(len, pieces.values())) + 200 * len(pieces)
 
     def _each(self, pieces: list[str]) -> dict[str, bytes]:
         return {p: np.array(made.ids, "<u4").tobytes() for p, made in zip(pieces, self.run(pieces, add_special_tokens=False), strict=True)}
@@ -147,28 +158,41 @@ class WordEncoder:
                 split.append((piece, letters.lower(), piece[len(letters) :]))
             else:
                 other.append(piece)
-        new = list({w for _, w, _ in split}.difference(self.words))
+        new = list({w for _, w, _ in split}.difference(self.known))
         for i in range(0, len(new), 5000):
-            self.words |= self._together(new[i : i + 5000])
+            self._remember(self._together(new[i : i + 5000]))
         signs = self._each(sorted({s for _, _, s in split if s}))
         signs[""] = b""
-        for piece, word, sign in split:
-            self.known[piece] = self.words[word] + signs[sign]
+        self._remember({piece: self.known[word] + signs[sign] for piece, word, sign in split if piece != word})
         for i in range(0, len(other), 20_000):
-            self.known |= self._each(other[i : i + 20_000])
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > MEMORY:
-            self.known = {}
-        if len(self.words) > MEMORY:
-            self.words = {}
-        pieces = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        # The dictionary is asked for each piece; taking away its keys would walk through all of them for each batch.
-        fresh = set().union(*pieces).difference(self.known)
-        if fresh:
-            self._learn(list(fresh))
-        end = np.array([END_ID], "<u4").tobytes()
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, words)) + end, "<u4") for words in pieces]
+            self._remember(self._each(other[i : i + 20_000]))
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts one after another, and how many each text has; an end id closes each."""
+        if self.bytes > MEMORY_BYTES // 2:
+            self.known, self.older, self.bytes = {}, self.known, 0
+        clean = pc.replace_substring(texts.cast(pa.large_string()).fill_null(""), "\n", " ")
+        lists = pc.split_pattern(clean, " ")
+        numbered = lists.values.dictionary_encode()
+        pieces = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        coded = list(map(self.known.get, pieces))
+        missing = [p for p, c in zip(pieces, coded, strict=True) if c is None]
+        if missing:
+            met = {p: c for p, c in zip(missing, map(self.older.get, missing), strict=True) if c is not None}
+            self._remember(met)
+            self._learn([p for p in missing if p not in met])
+            coded = [self.known[p] if c is None else c for p, c in zip(pieces, coded, strict=True)]
+        # The end id is one more piece, put behind the pieces of each text.
+        store = np.frombuffer(b"".join([*coded, np.array([END_ID], "<u4").tobytes()]), "<u4")
+        sizes = np.array([*(len(c) // 4 for c in coded), 1], np.int64)
+        first = np.cumsum(sizes) - sizes
+        bounds = np.asarray(lists.offsets).astype(np.int64)
+        which = np.insert(np.asarray(numbered.indices).astype(np.int64), bounds[1:] - bounds[0], len(coded))
+        length = sizes[which]
+        stops = np.cumsum(length)
+        ids = store[np.repeat(first[which] - stops + length, length) + np.arange(stops[-1] if len(stops) else 0)]
+        ends = np.cumsum(np.diff(bounds) + 1) - 1
+        return ids, np.diff(stops[ends], prepend=0)
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -197,8 +221,9 @@ def _coded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
     for batch in batches:
         kind = batch.column(0).type
         ids, texts = batch.column(0).to_pylist(), batch.column(1)
-        for i in range(0, len(ids), 1024):
-            for key, codes in zip(ids[i : i + 1024], _encoders[path](texts.slice(i, 1024).to_pylist()), strict=True):
+        for row, end, _, _ in slabs(texts, SLAB_BYTES):
+            found, counts = _encoders[path](texts.slice(row, end - row))
+            for key, codes in zip(ids[row:end], np.split(found, np.cumsum(counts)[:-1]), strict=True):
                 if rows and size + len(codes) > SEGMENT_TOKENS:
                     yield flush()
                 rows.append((key, len(codes)))
