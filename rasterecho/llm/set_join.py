@@ -21,7 +21,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +36,8 @@ COMMON, LEAST_COMMON = 20_000, 50
 STARS = 2
 #: Members of a part of a block, and their shingles: bounds of a task's memory.
 PART, PART_SHINGLES = 512, 1_000_000
+#: Bits of the filter over ids whose texts are read again.
+FILTER_BITS = 1 << 22
 LEAST_BITS = 256
 
 
@@ -91,15 +92,27 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return (x ^ np.uint64(1 << 63)).view(np.int64)
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fronts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cls, front): the listed shingles of each text by their hashes alone, to be counted."""
+    for batch in batches:
+        sets = [s for s in sets_of(batch.column(0)) if len(s)]
+        yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.binary()), pa.array([_signed(s[: listed(len(s))]) for s in sets], pa.list_(pa.int64()))], ["cls", "front"])
+
+
+def _fingerprints(batches: Iterator[pa.RecordBatch], common: np.ndarray) -> Iterator[pa.RecordBatch]:
     names = ["id", "n_shingles", "cls", "front", "bits"]
     for batch in batches:
         sizes, classes, fronts, maps = [], [], [], []
         for s in sets_of(batch.column(1)):
             sizes.append(len(s))
-            classes.append(class_of(s) if len(s) else None)
-            fronts.append(_signed(s[: listed(len(s))]) if len(s) else None)
-            maps.append(bitmap(s).tobytes() if len(s) else None)
+            if not len(s):
+                for column in (classes, fronts, maps):
+                    column.append(None)
+                continue
+            last = np.isin(s, common)
+            classes.append(class_of(s))
+            fronts.append(_signed(np.concatenate([s[~last], s[last]])[: listed(len(s))]))
+            maps.append(bitmap(s).tobytes())
         columns = [pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(fronts, pa.list_(pa.int64())), pa.array(maps, pa.binary())]
         yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names)
 
@@ -112,46 +125,47 @@ def _class_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _full_sets(needed: DataFrame, classes: DataFrame, documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(cls, shingles) of the classes named, from the text of one of each class's rows."""
-    needed = needed.join(classes.select("cls", "id"), "cls")
+    """(cls, shingles) of the classes named, from the text of one of each class's rows.
+
+    A filter of fixed size over the ids that are needed keeps most other texts out of the shuffle; it lets some through, none is lost.
+    """
+    needed = keep(needed.join(classes.select("cls", "id"), "cls"), "needed")
+    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    words = needed.select(cell("id").alias("c")).groupBy((F.col("c") / 64).cast("int").alias("w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, CAST(c % 64 AS INT))")).alias("bits")
+    )
+    # Proven small: one row for each 64 bits of the filter at most.
+    words = F.broadcast(words)
     texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sets = texts.join(needed, texts.id.eqNullSafe(needed.id)).select("cls", "text").mapInArrow(_class_sets, "cls binary, shingles binary")
+    at = cell("id")
+    texts = texts.withColumns({"w": (at / 64).cast("int"), "b": (at % 64).cast("int")}).join(words, "w").where("(shiftrightunsigned(bits, b) & 1) = 1")
+    sets = texts.drop("w", "b", "bits").join(needed, texts.id.eqNullSafe(needed.id)).select("cls", "text").mapInArrow(_class_sets, "cls binary, shingles binary")
     return keep(sets.dropDuplicates(["cls"]), "sets")
 
 
-def inverted_lists(classes: DataFrame, documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(token, late, cls, size, reach): entries of the lists with at least two members, one list of those with equal members.
+def common_shingles(documents: DataFrame, text_col: str) -> np.ndarray:
+    """Shingles with more than one in ``COMMON`` of all entries that the classes would list by hash alone: at most ``COMMON`` of them."""
+    fronts = documents.select(text_col).mapInArrow(_fronts, "cls binary, front array<bigint>").dropDuplicates(["cls"])
+    fronts = keep(fronts.select("front"), "fronts")
+    total = fronts.agg(F.sum(F.size("front"))).first()[0] or 0
+    found = fronts.select(F.explode("front").alias("token")).groupBy("token").count().where(F.col("count") > max(LEAST_COMMON, total // COMMON))
+    return np.array(sorted(r.token for r in found.collect()), np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+
 
-    Common shingles move to the end of the order: the fronts of the classes that list one are taken anew from their text.
+def inverted_lists(classes: DataFrame, common: np.ndarray) -> DataFrame:
+    """(token, n, cls, size, reach): entries of the lists with at least two members, one list of those with equal members.
+
+    Common shingles are last in the order of all.
     """
-    entries = classes.select("cls", "n_shingles", F.posexplode("front").alias("at", "token"))
-    total = classes.agg(F.sum(F.size("front"))).first()[0] or 0
-    common = keep(entries.groupBy("token").count().where(F.col("count") > max(LEAST_COMMON, total // COMMON)).select("token"), "common")
-    # Proven small: at most COMMON tokens hold more than one in COMMON of all entries.
-    late = np.array(sorted(r[0] for r in common.collect()), np.int64)
-    sent = classes.sparkSession.sparkContext.broadcast(late)
-
-    def fronts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for raw in batch.column(1).to_pylist():
-                tokens = _signed(np.frombuffer(raw, np.uint64))
-                last = np.isin(tokens, sent.value)
-                out.append(np.concatenate([tokens[~last], tokens[last]])[: listed(len(tokens))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["cls", "front"])
-
-    if len(late):
-        touched = entries.join(F.broadcast(common), "token", "left_semi").select("cls").distinct()
-        again = _full_sets(touched, classes, documents, id_col, text_col).mapInArrow(fronts, "cls binary, front array<bigint>")
-        again = classes.select("cls", "n_shingles").join(again, "cls")
-        plain = classes.join(again.select("cls"), "cls", "left_anti").select("cls", "n_shingles", "front")
-        entries = plain.unionByName(again).select("cls", "n_shingles", F.posexplode("front").alias("at", "token"))
-    entries = entries.join(F.broadcast(common.withColumn("late", F.lit(1))), "token", "left")
     # 19 * rest >= 9 * (size + other) at 90 percent: what is left of the set from here on must hold all that the two share.
     most = F.floor((100 + SIMILARITY) * (F.col("n_shingles") - F.col("at")) / SIMILARITY) - F.col("n_shingles")
-    entries = keep(entries.select("token", F.coalesce("late", F.lit(0)).alias("late"), "cls", F.col("n_shingles").alias("size"), most.alias("reach")), "entries")
-    lists = entries.groupBy("token", "late").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "cls")).alias("y"))
-    firsts = lists.where("n > 1").groupBy("n", "x", "y").agg(F.min(F.struct("late", "token"))["token"].alias("token"))
+    entries = classes.select("cls", "n_shingles", F.posexplode("front").alias("at", "token"))
+    entries = entries.select("token", "cls", F.col("n_shingles").alias("size"), most.alias("reach"))
+    lists = entries.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "cls")).alias("y"))
+    late = classes.sparkSession.createDataFrame([(int(t), 1) for t in _signed(common)], "token bigint, late int")
+    # Proven small: COMMON rows at most.
+    lists = lists.where("n > 1").join(F.broadcast(late), "token", "left").withColumn("late", F.coalesce("late", F.lit(0)))
+    firsts = lists.groupBy("n", "x", "y").agg(F.min(F.struct("late", "token"))["token"].alias("token"))
     return keep(entries.join(firsts.select("token", "n"), "token"), "lists")
 
 
@@ -217,33 +231,59 @@ def _verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, id_col
     return keep(both.select("a", "b", "x", "y").mapInArrow(_linked, EDGE), "links")
 
 
-def _candidates(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
-    """Which pairs of two parts may link, by component, size, place and bitmap."""
-    maps = [[np.frombuffer(b, np.uint64) for b in side.bits] for side in (left, right)]
-    least = min(len(m) for side in maps for m in side)
-    x, y = (np.array([fold(m, least) for m in side]) for side in maps)
-    other, out = right["size"].to_numpy(), np.zeros((len(left), len(right)), bool)
-    number: dict[bytes, int] = {}
-    homes, home = ([number.setdefault(bytes(c), len(number)) for c in side.component] for side in (left, right))
-    reach, home = right.reach.to_numpy(), np.array(home)
-    for i, (size, far, own) in enumerate(zip(left["size"], left.reach, homes, strict=True)):
-        fits = np.flatnonzero((other <= far) & (size <= reach) & (100 * np.minimum(size, other) >= SIMILARITY * np.maximum(size, other)) & (home != own))
-        apart = np.bitwise_count(x[i] ^ y[fits]).sum(axis=1).astype(np.int64)
-        out[i, fits] = may_link(size, other[fits], apart)
-    return out
+class Part:
+    """The members of a part of a block, as arrays; ``homes`` numbers their components."""
 
+    def __init__(self, classes: list[bytes], sizes: list[int], reaches: list[int], components: list[bytes], payload: list[bytes]) -> None:
+        self.cls, self.component = classes, components
+        self.size, self.reach = np.array(sizes, np.int64), np.array(reaches, np.int64)
+        self.payload = [np.frombuffer(p, np.uint64) for p in payload]
 
+
+def _fitting(left: Part, right: Part) -> Iterator[tuple[int, np.ndarray]]:
+    """For each member of one part, those of another that it may link with by component, size and place."""
+    number: dict[bytes, int] = {}
+    mine, theirs = ([number.setdefault(c, len(number)) for c in side.component] for side in (left, right))
+    home, other = np.array(theirs), right.size
+    for i, (size, far) in enumerate(zip(left.size, left.reach, strict=True)):
+        fits = (other <= far) & (size <= right.reach) & (100 * np.minimum(size, other) >= SIMILARITY * np.maximum(size, other)) & (home != mine[i])
+        yield i, np.flatnonzero(fits)
+
+
+def candidates(left: Part, right: Part) -> tuple[np.ndarray, np.ndarray]:
+    """The members of two parts that may link with any of the other part, by bitmap too."""
+    hit = np.zeros(len(left.cls), bool), np.zeros(len(right.cls), bool)
+    least = min(len(m) for m in left.payload + right.payload)
+    x, y = (np.array([fold(m, least) for m in side.payload]) for side in (left, right))
+    for i, fits in _fitting(left, right):
+        if len(fits):
+            apart = np.bitwise_count(x[i] ^ y[fits]).sum(axis=1).astype(np.int64)
+            near = fits[may_link(left.size[i], right.size[fits], apart)]
+            hit[0][i] = len(near) > 0
+            hit[1][near] = True
+    return hit
+
+
+#: What names a pair of parts.
 _IDS = ["token", "block_size", "block_front", "part", "other_size", "other_front", "other_part"]
+_MEMBER = ("cls", "size", "reach", "component")
+_SURVIVOR = "cls binary, size bigint, reach bigint, component binary, side int"
 
 
-def _survivors(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """The members of a pair of parts that may link with any of the other part."""
-    names = [*_IDS, "side", "cls", "size", "reach", "component", "bits"]
-    if not len(left) or not len(right):
-        return pd.DataFrame({c: [] for c in names})
-    may = _candidates(left, right)
-    sides = [side[hit].assign(side=k) for k, (side, hit) in enumerate(((left, may.any(axis=1)), (right, may.any(axis=0))))]
-    return pd.concat(sides)[names]
+def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of two parts (five lists each, behind what names the pair) to a row for each member that may link with any of the other part."""
+    for batch in batches:
+        columns = [c.to_pylist() for c in batch.columns[len(_IDS) :]]
+        at, out = [], []
+        for row in range(batch.num_rows):
+            sides = [Part(*(c[row] for c in columns[k : k + 5])) for k in (0, 5)]
+            for k, (side, hit) in enumerate(zip(sides, candidates(*sides), strict=True)):
+                for i in np.flatnonzero(hit):
+                    at.append(row)
+                    out.append((side.cls[i], int(side.size[i]), int(side.reach[i]), side.component[i], k))
+        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int32())
+        found = [pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)]
+        yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at, pa.int64())) for c in batch.columns[: len(_IDS)]), *found], [*_IDS, *_MEMBER, "side"])
 
 
 class Answers:
@@ -280,33 +320,44 @@ class Answers:
         return self.known[1]
 
 
-def _answered(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+def answered(left: Part, right: Part) -> list[tuple[bytes, bytes]]:
     """Links between two parts, of each group that they join only as many as join it."""
     found: list[tuple[bytes, bytes]] = []
-    if len(left) and len(right):
-        may = _candidates(left, right)
-        mine, theirs = ([np.frombuffer(v, np.uint64) for v in side.shingles] for side in (left, right))
-        sizes, answers = np.array([len(s) for s in theirs]), Answers(theirs)
-        parent: dict[bytes, bytes] = {}
-
-        def root(c: bytes) -> bytes:
-            while parent.setdefault(c, c) != c:
-                parent[c] = parent[parent[c]]
-                c = parent[c]
-            return c
-
-        homes = [[bytes(c) for c in side.component] for side in (left, right)]
-        for i, s in enumerate(mine):
-            open_ = may[i] & np.array([root(c) != root(homes[0][i]) for c in homes[1]])
-            if open_.any():
-                both = answers(s)
-                for j in np.flatnonzero(open_ & may_link(len(s), sizes, len(s) + sizes - 2 * both)):
-                    a, b = root(homes[0][i]), root(homes[1][j])
-                    if a != b:
-                        parent[a] = b
-                        x, y = bytes(left.cls.iloc[i]), bytes(right.cls.iloc[j])
-                        found.append((min(x, y), max(x, y)))
-    return pd.DataFrame(found, columns=["a", "b"]) if found else pd.DataFrame({"a": [], "b": []}, dtype=object)
+    sizes, answers = np.array([len(s) for s in right.payload]), Answers(right.payload)
+    parent: dict[bytes, bytes] = {}
+
+    def root(c: bytes) -> bytes:
+        while parent.setdefault(c, c) != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    for i, fits in _fitting(left, right):
+        own = root(left.component[i])
+        fits = np.array([j for j in fits if root(right.component[j]) != own], np.int64)
+        if len(fits):
+            tokens = left.payload[i]
+            both = answers(tokens)[fits]
+            for j in fits[may_link(len(tokens), sizes[fits], len(tokens) + sizes[fits] - 2 * both)]:
+                a, b = root(left.component[i]), root(right.component[j])
+                if a != b:
+                    parent[a] = b
+                    found.append((min(left.cls[i], right.cls[j]), max(left.cls[i], right.cls[j])))
+    return found
+
+
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found: list[tuple[bytes, bytes]] = []
+        for values in zip(*batch.columns, strict=True):
+            found += answered(*(Part(*(v.as_py() for v in values[k : k + 5])) for k in (0, 5)))
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+
+def _lists(prefix: str, payload: str) -> list[Column]:
+    """Aggregates that make the five lists of a part; all in the order of the rows that come in."""
+    every = F.collect_list(F.struct(*_MEMBER, payload))
+    return [every[c].alias(f"{prefix}_{c}") for c in (*_MEMBER, payload)]
 
 
 def _rest(lists: DataFrame, labels: DataFrame, classes: DataFrame, documents: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
@@ -340,27 +391,34 @@ def _rest(lists: DataFrame, labels: DataFrame, classes: DataFrame, documents: Da
     met = pairs.select(*block).union(pairs.select("token", "other_size", "other_front")).distinct()
     members = named.join(blocks.select(*block, "parts"), block).join(met, block, "left_semi").join(classes.select("cls", "bits"), "cls")
     members = members.withColumn("part", F.pmod(F.xxhash64("cls"), "parts").cast("int"))
-    members = keep(members.select(*block, "part", "cls", "size", "reach", "component", "bits"), "placed")
-    # Written apart, so that the two sides are different tables to the analyzer.
-    left = keep(pairs.join(members, [*block, "part"]), "left")
+    # One row for each part, its members in lists; the two sides are written apart, so that they are different tables to the analyzer.
+    parts_of = keep(members.groupBy(*block, "part").agg(*_lists("left", "bits")), "parts")
     as_other = {"block_size": "other_size", "block_front": "other_front", "part": "other_part"}
-    right = keep(pairs.join(members.withColumnsRenamed(as_other), ["token", *as_other.values()]), "right")
-    kinds = ", ".join(f"{c} {left.schema[c].dataType.simpleString()}" for c in [*_IDS, "cls", "size", "reach", "component", "bits"])
-    survivors = keep(left.groupBy(*_IDS).cogroup(right.groupBy(*_IDS)).applyInPandas(_survivors, f"{kinds}, side int"), "survivors")
+    others = parts_of.withColumnsRenamed(as_other | {c: c.replace("left", "right") for c in parts_of.columns if c.startswith("left_")})
+    met = pairs.join(parts_of, [*block, "part"]).join(others, ["token", *as_other.values()])
+    lists_of = [f"{side}_{c}" for side in ("left", "right") for c in (*_MEMBER, "bits")]
+    kinds = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in _IDS)
+    survivors = keep(met.select(*_IDS, *lists_of).mapInArrow(_survivors, f"{kinds}, {_SURVIVOR}"), "survivors")
     sets = _full_sets(survivors.select("cls").distinct(), classes, documents, id_col, text_col)
-    left, right = (keep(survivors.where(F.col("side") == k).join(sets, "cls"), f"side-{k}") for k in (0, 1))
-    return keep(left.groupBy(*_IDS).cogroup(right.groupBy(*_IDS)).applyInPandas(_answered, EDGE).distinct(), "rest")
+    full = survivors.join(sets, "cls")
+    left, right = (keep(full.where(F.col("side") == k).groupBy(*_IDS).agg(*_lists(name, "shingles")), name) for k, name in enumerate(("left", "right")))
+    lists_of = [c.replace("bits", "shingles") for c in lists_of]
+    return keep(left.join(right, _IDS).select(*lists_of).mapInArrow(_answered, EDGE).distinct(), "rest")
 
 
 def similar_sets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable by links)."""
     kind = documents.schema[id_col].dataType.simpleString()
-    prints = documents.select(id_col, text_col).mapInArrow(_fingerprints, f"id {kind}, n_shingles bigint, cls binary, front array<bigint>, bits binary")
+    common = common_shingles(documents, text_col)
+    sent = documents.sparkSession.sparkContext.broadcast(common)
+    prints = documents.select(id_col, text_col).mapInArrow(
+        lambda b: _fingerprints(b, sent.value), f"id {kind}, n_shingles bigint, cls binary, front array<bigint>, bits binary"
+    )
     prints = keep(prints, "prints")
     first = lambda c: F.first(c).alias(c)
     classes = prints.where("n_shingles > 0").groupBy("cls").agg(F.min("id").alias("id"), first("n_shingles"), first("front"), first("bits"))
     classes = keep(classes, "classes")
-    lists = inverted_lists(classes, documents, id_col, text_col)
+    lists = inverted_lists(classes, common)
     lists = keep(lists.join(lists.groupBy("cls").agg(F.sum("n").alias("degree")), "cls"), "degrees")
     tested = links = labels = None
     for _ in range(STARS):
