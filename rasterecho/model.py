@@ -106,6 +106,24 @@ def runs_frame(spark: SparkSession, rows: list[dict[str, object]]) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*[run_struct(r) for r in rows])))
 
 
-def assign_runs(px: DataFrame, rows: list[dict[str, object]]) -> DataFrame:
-    """The jobs table: every given run on every sequence of ``px``, one row per (run, sequence)."""
-    return px.select("seq").distinct().select("seq", F.inline(F.array(*[run_struct(r) for r in rows])))
+def typed_runs(runs: DataFrame) -> DataFrame:
+    """A table of runs with every setting in its type; settings it lacks take their defaults."""
+    return runs.select(
+        F.col("run_id").cast("string").alias("run_id"),
+        *[(F.col(n) if n in runs.columns else F.lit(d)).cast(t).alias(n) for n, (t, d) in SETTINGS.items()],
+    )
+
+
+def assign_runs(px: DataFrame, runs: list[dict[str, object]] | DataFrame, assignments: DataFrame | None = None) -> DataFrame:
+    """The jobs table: one row per (run, sequence) with the settings of the run.
+
+    ``assignments`` (run_id, seq, and any other columns, which are kept) names the pairs; without it every run handles every
+    sequence of ``px``, and the product of the two is the list of the work to be done.
+    """
+    if not isinstance(runs, DataFrame):
+        runs = runs_frame(px.sparkSession, runs)
+    runs = typed_runs(runs)
+    seqs = px.select("seq").distinct()
+    if assignments is None:
+        return seqs.crossJoin(runs).select("seq", *runs.columns)
+    return assignments.join(seqs, "seq", "left_semi").join(runs, "run_id")

@@ -14,6 +14,9 @@ from ..model import FLOAT_MAX, FLOAT_TINY, f32
 
 BLOCK_KEYS = ("run_id", "seq", "frame", "by", "bx")
 DIFFUSE_X, DIFFUSE_Y, REFRESH = 0, 1, 2
+#: Settings that say how pixels are reduced to blocks, and those that are applied to the blocks.
+MOTION_SETTINGS = ("block_size", "motion_channels", "reverse_motion", "flip_x", "flip_y", "motion_gain", "motion_clamp")
+BLOCK_SETTINGS = ("motion_quantization", "diffusion", "refresh_probability", "seed")
 
 
 def clip_float(value: Column) -> Column:
@@ -55,10 +58,10 @@ def with_block(df: DataFrame) -> DataFrame:
     )
 
 
-def block_mean(px: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+def block_mean(px: DataFrame, carry: tuple[str, ...] = (), keys: tuple[str, ...] = BLOCK_KEYS) -> DataFrame:
     """Matte-weighted mean ``dx, dy`` per block; ``carry`` names columns constant per run."""
     weight = F.col("m").cast("double")
-    sums = with_block(px).groupBy(*BLOCK_KEYS, *carry).agg(
+    sums = with_block(px).groupBy(*keys, *carry).agg(
         F.sum(weight).alias("_w"),
         F.sum(F.col("du").cast("double") * weight).alias("_sx"),
         F.sum(F.col("dv").cast("double") * weight).alias("_sy"),
@@ -67,7 +70,7 @@ def block_mean(px: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     def mean(total: str) -> Column:
         return F.when(F.col("_w") > 0, F.col(total) / F.col("_w")).otherwise(F.lit(0.0)).cast("float")
 
-    return sums.select(*BLOCK_KEYS, *carry, mean("_sx").alias("dx"), mean("_sy").alias("dy"))
+    return sums.select(*keys, *carry, mean("_sx").alias("dx"), mean("_sy").alias("dy"))
 
 
 def block_quantize(blocks: DataFrame) -> DataFrame:
@@ -104,9 +107,22 @@ def prepare_blocks(px_jobs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame
 
     ``px_jobs`` is ``px`` joined with the jobs table: pixels, ``run_id`` and the settings.
     """
-    run_columns = ("motion_quantization", "diffusion", "refresh_probability", "seed", *carry)
     moved = motion_clamp(motion_decode(px_jobs))
-    blocks = block_refresh(block_diffuse(block_quantize(block_mean(moved, run_columns))))
+    blocks = block_refresh(block_diffuse(block_quantize(block_mean(moved, (*BLOCK_SETTINGS, *carry)))))
+    return blocks.select(*BLOCK_KEYS, *carry, "dx", "dy", "refresh")
+
+
+def prepare_blocks_once(px: DataFrame, jobs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """C8 for many runs: pixels are reduced once for each distinct way of reading motion, not once for each run.
+
+    ``jobs``: run_id, seq, frame, the settings and ``carry``. Runs that read motion alike share the block means of a frame; what else
+    they set (steps, jitter, refresh) is applied to the blocks.
+    """
+    ways = jobs.select("seq", "frame", *MOTION_SETTINGS).distinct()
+    moved = motion_clamp(motion_decode(px.join(ways, ["seq", "frame"])))
+    means = block_mean(moved, MOTION_SETTINGS, ("seq", "frame", "by", "bx"))
+    mine = jobs.select(*{*("run_id", "seq", "frame"), *MOTION_SETTINGS, *BLOCK_SETTINGS, *carry})
+    blocks = block_refresh(block_diffuse(block_quantize(means.join(mine, ["seq", "frame", *MOTION_SETTINGS]))))
     return blocks.select(*BLOCK_KEYS, *carry, "dx", "dy", "refresh")
 
 

@@ -15,10 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pixel as P
+from ..model import ENUMS
 
 KEY = ["run_id", "seq", "seg"]
 HISTORY = ("r", "g", "b", "a", "k")
 
+SEMANTICS = ("mode", "history_source", "invalid_history_fallback")
+
 # Per-line partial counters; frame counters are their sums.
 COUNT_COLUMNS = (
     "n_pixels", "n_target", "s_target", "n_effect", "s_effect", "n_attempt", "n_valid",
@@ -38,6 +41,13 @@ class Semantics:
     def of(cls, run: dict[str, object]) -> "Semantics":
         return cls(run["mode"], run["history_source"], run["invalid_history_fallback"])
 
+    @classmethod
+    def present(cls, runs: DataFrame) -> list["Semantics"]:
+        """The legal combinations that a table of runs holds: at most eight, however many runs there are."""
+        legal = [F.col(n).isin(*ENUMS[n]) for n in SEMANTICS]
+        rows = runs.select(*SEMANTICS).where(legal[0] & legal[1] & legal[2]).distinct().collect()
+        return sorted((cls.of(r.asDict()) for r in rows), key=str)
+
     @property
     def trail(self) -> bool:
         return self.mode == "TRAIL"

@@ -1,9 +1,13 @@
-"""The recursive scan over frames.
+"""The recursive scan over frames (F3-F5, F9), and the log that lets it go on after a stop.
 
 Frame *t* needs the output of frame *t-1*, but segments are independent: wave *k* advances frame *k* of
 every segment of every sequence and run in one job, so the number of jobs is the longest segment, not
 the number of frames. Each wave is written under ``spark.checkpoint.dir`` and the next one reads it
 from there: lineage stays one step long and a lost executor only repeats its own tasks.
+
+With a job folder the same tables lie at a place that is known beforehand, and a log gets one small row when
+a wave's write is complete. A wave counts once it is in the log. Who calls the scan again with the same folder
+goes on after the last such wave; a wave that was written in part is written again.
 """
 
 from __future__ import annotations
@@ -15,15 +19,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import SETTING_NAMES, assign_runs
-from ..operators.blocks import prepare_blocks
+from ..operators.blocks import prepare_blocks_once
 from ..operators.diagnostics import frame_diag
+from ..operators.manifest import fingerprint, manifest_commit
 from ..operators.quality import checked_dims, lines_usable, setting_reasons
 from ..operators.segments import segments, with_live
 from ..operators.step import KEY, Semantics, advance, clean_start, pack_lines, unpack_lines
-from .workspace import new_folder
+from .workspace import existing, new_folder
 
 LINE_CHANNELS = ("r", "g", "b", "a", "m")
 MOTION = ("vr", "vg", "vb", "va")
+#: Semantics that give an empty scan its schema.
+ANY = Semantics("HARD_LOCALIZED", "TARGET_ONLY", "CURRENT_BEAUTY")
+#: Rows of the log: the wave that is complete (-1: plan, lines and blocks), and whose work it is.
+LOG = "wave int, signature string"
 
 
 @dataclass(frozen=True)
@@ -33,6 +42,7 @@ class ScanResult:
     lines: DataFrame
     failures: DataFrame
     waves: int
+    root: str
 
     def pixels(self) -> DataFrame:
         """Output color and next coverage, one row per pixel."""
@@ -56,11 +66,17 @@ class ScanResult:
 def plan_frames(
     px: DataFrame, jobs: DataFrame, resets: DataFrame | None, policy: str, state: DataFrame | None,
 ) -> DataFrame:
-    """One row per run and frame: which wave it belongs to and whether it can hold effect."""
+    """One row per run and frame: which wave it belongs to and whether it can hold effect.
+
+    Where ``jobs`` has ``frame_from`` and ``frame_to``, a pair's other frames are left out.
+    """
     dims = checked_dims(px)
     bad_run = F.when(F.col("run_error").isNotNull(), F.concat(F.lit("invalid run: "), "run_error"))
-    checked = jobs.select("run_id", "seq", F.coalesce(*setting_reasons()).alias("run_error"))
+    span = [c for c in ("frame_from", "frame_to") if c in jobs.columns]
+    checked = jobs.select("run_id", "seq", *span, F.coalesce(*setting_reasons()).alias("run_error"))
     frames = dims.join(checked, "seq").withColumn("input_error", F.coalesce(bad_run, "input_error")).drop("run_error")
+    if span:
+        frames = frames.where(F.col("frame").between(F.col("frame_from"), F.col("frame_to"))).drop(*span)
     keys = ("run_id", "seq")
     if state is None:
         return with_live(segments(frames, resets, keys, policy=policy), keys).withColumn("seeded", F.lit(False))
@@ -82,66 +98,141 @@ def plan_frames(
 
 
 def feedback_scan(
-    px: DataFrame, runs: list[dict[str, object]], resets: DataFrame | None = None, *,
+    px: DataFrame, runs: DataFrame | list[dict[str, object]], resets: DataFrame | None = None, *,
     assignments: DataFrame | None = None, state: DataFrame | None = None, max_waves: int | None = None,
-    policy: str = "ERROR", color: bool = True, counters: bool = True,
+    policy: str = "ERROR", color: bool = True, counters: bool = True, job: str | None = None,
 ) -> ScanResult:
     """Process every frame of every sequence under every run.
 
-    ``runs`` are setting rows; ``assignments`` (run_id, seq) limits which run handles which sequence.
-    ``state`` continues from stored lines instead of a clean start. ``max_waves`` stops at a frame
-    boundary and keeps what is finished. ``color=False`` follows trail coverage only. A frame with an
-    illegal or missing pixel stops its sequence there; a run with an illegal setting and a pair whose
-    stored lines are damaged do nothing. All of them are rows of ``failures``.
+    ``runs`` is a table of settings (``run_id`` and those that differ from the defaults), of any number of rows: they are
+    joined, never written into the plan. ``assignments`` (run_id, seq) limits which run handles which sequence, and with
+    ``frame_from, frame_to`` which frames. ``state`` continues from stored lines instead of a clean start. ``max_waves`` stops
+    at a frame boundary and keeps what is finished. ``color=False`` follows trail coverage only. A frame with an illegal or
+    missing pixel stops its sequence there; a run with an illegal setting and a pair whose stored lines are damaged do nothing.
+    All of them are rows of ``failures``.
+
+    ``job`` names a folder in shared storage: a scan that was stopped, or whose driver was lost, is continued by the same call.
     """
     spark = px.sparkSession
-    root = new_folder(spark, "scan")
-    jobs = assign_runs(px, runs)
-    if assignments is not None:
-        jobs = jobs.join(assignments, ["run_id", "seq"], "left_semi")
-    plan = _write(plan_frames(px, jobs, resets, policy, state).join(jobs, ["run_id", "seq"]), f"{root}/plan")
+    root = job or new_folder(spark, "scan")
+    jobs = assign_runs(px, runs, assignments)
+    signature = _signature(jobs, resets, policy, color, counters) if job else ""
+    done = committed_waves(spark, root) if job else set()
+    _same_work(spark, root, signature, done)
+    plan = _written(spark, lambda: plan_frames(px, jobs, resets, policy, state).join(jobs, ["run_id", "seq"]), f"{root}/plan", -1 in done)
     ready = plan.where(F.col("state_error").isNull())
     last = ready.agg(F.max("pos")).first()[0]
     waves = 0 if last is None else last + 1
     if max_waves is not None:
         waves = min(waves, max_waves)
-    ready = ready.where(F.col("pos") < waves)
+    # A job that is stopped early is expected back, so its tables hold all waves from the start.
+    planned = ready if job else ready.where(F.col("pos") < waves)
 
-    places = ready.where(~F.col("seeded")).select("seq", "frame", "pos").distinct()
-    lines = _write(
-        pack_lines(px.select("seq", "frame", "y", "x", *LINE_CHANNELS), LINE_CHANNELS).join(places, ["seq", "frame"]),
-        f"{root}/lines", "pos",
-    )
-    moving = ready.where(F.col("pos") > 0).select("run_id", "seq", "frame", "seg", "pos", *SETTING_NAMES)
-    motion = px.select("seq", "frame", "y", "x", *MOTION, "m").join(moving, ["seq", "frame"])
-    blocks = _write(prepare_blocks(motion, ("seg", "pos")), f"{root}/blocks", "pos")
+    def lines_of() -> DataFrame:
+        places = planned.where(~F.col("seeded")).select("seq", "frame", "pos").distinct()
+        return pack_lines(px.select("seq", "frame", "y", "x", *LINE_CHANNELS), LINE_CHANNELS).join(places, ["seq", "frame"])
+
+    def blocks_of() -> DataFrame:
+        moving = planned.where(F.col("pos") > 0).select("run_id", "seq", "frame", "seg", "pos", *SETTING_NAMES)
+        return prepare_blocks_once(px.select("seq", "frame", "y", "x", *MOTION, "m"), moving, ("seg", "pos"))
+
+    lines = _written(spark, lines_of, f"{root}/lines", -1 in done, "pos")
+    blocks = _written(spark, blocks_of, f"{root}/blocks", -1 in done, "pos")
+    if job and -1 not in done:
+        _commit(spark, root, -1, signature)
 
-    combos = sorted({Semantics.of(r) for r in runs}, key=str)
-    written: list[DataFrame] = []
+    combos = Semantics.present(ready) or [ANY]
+    paths: list[str] = []
     prev = None
     for pos in range(max(1, waves)):  # with nothing ready, an empty wave gives the schema
-        cur = lines.where(F.col("pos") == pos).drop("w").join(
-            ready.where((F.col("pos") == pos) & ~F.col("seeded")).drop("pos", "has_matte"), ["seq", "frame"]
-        )
-        here = blocks.where(F.col("pos") == pos)
-        parts = []
-        for semantics in combos:
-            live = F.col("live_trail") if semantics.trail else F.col("live_hard")
-            mine = semantics.rows(cur).withColumn("live", live)
-            if pos == 0:
-                parts.append(clean_start(mine, color=color, counters=counters))
-            else:
-                parts.append(advance(mine, prev, here, semantics, color=color, counters=counters))
-        done = _write(reduce(DataFrame.unionByName, parts), f"{root}/wave={pos}")
-        written.append(done)
-        prev = done
+        wave = f"{root}/wave={pos}"
+
+        def frames_of(pos: int = pos, prev: DataFrame | None = prev) -> DataFrame:
+            here = ready.where((F.col("pos") == pos) & ~F.col("seeded")).drop("pos", "has_matte")
+            cur = lines.where(F.col("pos") == pos).drop("w").join(here, ["seq", "frame"])
+            moved = blocks.where(F.col("pos") == pos)
+            parts = []
+            for semantics in combos:
+                live = F.col("live_trail") if semantics.trail else F.col("live_hard")
+                mine = semantics.rows(cur).withColumn("live", live)
+                if pos == 0:
+                    parts.append(clean_start(mine, color=color, counters=counters))
+                else:
+                    parts.append(advance(mine, prev, moved, semantics, color=color, counters=counters))
+            return reduce(DataFrame.unionByName, parts)
+
+        finished = _written(spark, frames_of, wave, pos in done)
+        if job and pos not in done and waves:
+            _commit(spark, root, pos, signature)
+        paths.append(wave)
+        prev = finished
         if pos == 0 and state is not None:
-            prev = done.unionByName(_seed(state, ready, done), allowMissingColumns=True)
-    finished = spark.read.schema(written[0].schema).parquet(*[f"{root}/wave={p}" for p in range(len(written))])
+            prev = finished.unionByName(_seed(state, ready, finished), allowMissingColumns=True)
+    lines_out = spark.read.schema(finished.schema).parquet(*paths)
     failures = plan.where(F.col("state_error").isNotNull()).groupBy("run_id", "seq").agg(
         F.min("frame").alias("frame"), F.min_by("state_error", "frame").alias("reason")
     )
-    return ScanResult(finished, failures, waves)
+    return ScanResult(lines_out, failures, waves, root)
+
+
+def committed_waves(spark: SparkSession, job: str) -> set[int]:
+    """The waves of a job whose write is complete; -1 stands for its plan. One number per wave."""
+    log = existing(spark, f"{job}/log", LOG)
+    return set() if log is None else {r.wave for r in log.select("wave").distinct().collect()}
+
+
+def committed_frames(spark: SparkSession, job: str) -> DataFrame:
+    """(run_id, seq, frame, wave): the frames of a job that count, by its log alone."""
+    plan = spark.read.parquet(f"{job}/plan").where(F.col("state_error").isNull() & ~F.col("seeded"))
+    log = spark.read.schema(LOG).parquet(f"{job}/log").select("wave").distinct()
+    return plan.withColumn("wave", F.col("pos")).join(log, "wave", "left_semi").select("run_id", "seq", "frame", "wave")
+
+
+def committed_lines(spark: SparkSession, job: str) -> DataFrame:
+    """The lines of those frames. A wave that is not in the log is not read, whatever lies in its folder."""
+    waves = sorted(w for w in committed_waves(spark, job) if w >= 0)
+    if not waves:
+        raise ValueError(f"no wave of {job} is complete")
+    return spark.read.parquet(*[f"{job}/wave={w}" for w in waves])
+
+
+def job_manifest(spark: SparkSession, job: str) -> DataFrame:
+    """Per run and sequence what a stopped job has completed, as ``resume_point`` wants it.
+
+    ``completed`` counts up from the first frame without a gap. Frames of later segments that are finished already stay out of
+    it until those before them are finished too.
+    """
+    plan = spark.read.parquet(f"{job}/plan").where(~F.col("seeded"))
+    spans = plan.groupBy("run_id", "seq").agg(F.min("frame").alias("frame_start"), F.max("frame").alias("frame_end"))
+    frames = committed_frames(spark, job)
+    missing = plan.join(frames, ["run_id", "seq", "frame"], "left_anti").groupBy("run_id", "seq").agg(F.min("frame").alias("_open"))
+    kept = frames.join(missing, ["run_id", "seq"], "left").where(F.col("_open").isNull() | (F.col("frame") < F.col("_open")))
+    done = manifest_commit(kept, frames.select("wave").distinct()).select("run_id", "seq", "completed")
+    none = F.array().cast("array<int>")
+    settled = fingerprint(plan.select("run_id", *SETTING_NAMES).distinct())
+    return spans.join(done, ["run_id", "seq"], "left").join(settled, "run_id").select(
+        "run_id", "seq", "frame_start", "frame_end", "settings_fingerprint", F.coalesce("completed", none).alias("completed")
+    )
+
+
+def _signature(jobs: DataFrame, resets: DataFrame | None, policy: str, color: bool, counters: bool) -> str:
+    """What a job is for: its pairs with all settings, its resets and how it is run."""
+    sums = [jobs.agg(F.count("*"), F.bit_xor(F.xxhash64(*sorted(jobs.columns)))).first()]
+    if resets is not None:
+        sums.append(resets.distinct().agg(F.count("*"), F.bit_xor(F.xxhash64(*sorted(resets.columns)))).first())
+    return "/".join(str(v) for v in (*[v for s in sums for v in s], policy, color, counters))
+
+
+def _same_work(spark: SparkSession, root: str, signature: str, done: set[int]) -> None:
+    if done:
+        known = {r.signature for r in spark.read.schema(LOG).parquet(f"{root}/log").select("signature").distinct().collect()}
+        if known != {signature}:
+            raise ValueError(f"{root} holds another job: its runs, resets or policy differ")
+
+
+def _commit(spark: SparkSession, root: str, wave: int, signature: str) -> None:
+    """One row in one file, so that it is seen whole or not at all; a repeated row says the same."""
+    spark.range(1).select(F.lit(wave).alias("wave"), F.lit(signature).alias("signature")).coalesce(1).write.mode("append").parquet(f"{root}/log")
 
 
 def _seed(state: DataFrame, plan: DataFrame, like: DataFrame) -> DataFrame:
@@ -152,6 +243,10 @@ def _seed(state: DataFrame, plan: DataFrame, like: DataFrame) -> DataFrame:
     )
 
 
-def _write(df: DataFrame, path: str, *partition: str) -> DataFrame:
-    df.write.partitionBy(*partition).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _written(spark: SparkSession, make, path: str, already: bool, *partition: str) -> DataFrame:
+    """The table at ``path``: read if it is known to be whole, else made and written, over what an earlier attempt left."""
+    if already:
+        return spark.read.parquet(path)
+    df = make()
+    df.write.mode("overwrite").partitionBy(*partition).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
