@@ -32,9 +32,9 @@ SEGMENT_TOKENS = 500_000
 END_ID = 1
 BLOCK = 512
 #: Bytes that a worker's memory of pieces and their ids may take, about: two halves, the older of which goes when the newer is full.
-MEMORY_BYTES = 150_000_000
+MEMORY_BYTES = 80_000_000
 #: Bytes of text that are encoded at once.
-SLAB_BYTES = 4_000_000
+SLAB_BYTES = 2_000_000
 _HEAD = struct.Struct("<4sBQ")
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.int64)
 
