@@ -33,6 +33,8 @@ STARS = 2
 #: Members and shingles of a chunk (a bound on a task's memory), and columns of the dense tables in which two chunks are compared.
 CHUNK, CHUNK_SHINGLES = 512, 1_000_000
 COLUMNS = 4096
+#: Bytes of text whose words are hashed at once; that takes some tens of times as much memory.
+SLAB_BYTES = 1_000_000
 
 _rng = np.random.default_rng(11)
 _FIRST = _rng.permutation(2**UNIVERSE_BITS).astype(np.int32)
@@ -62,7 +64,7 @@ def class_of(shingles: np.ndarray) -> bytes:
 
 
 def _sets(column: pa.Array) -> Iterator[np.ndarray]:
-    for row, end, data, offsets in slabs(column):
+    for row, end, data, offsets in slabs(column, SLAB_BYTES):
         starts, ends, first = word_bounds(data, offsets, NON_SPACE)
         hashes = word_hashes(data, starts, ends, NON_SPACE)
         for i in range(end - row):
