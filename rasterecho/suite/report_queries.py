@@ -256,6 +256,26 @@ def k3(spark, sf):
     return ranked.withColumns({c: F.round(c, 9) for c in ("changed_output_ratio", "history_use_ratio")})
 
 
+def sweep_sql():
+    from .scan_queries import SWEEP, SWEEP_CTE, TAGS
+
+    diag = ", ".join(S.diag_frames_cte(run, TAGS[name]) for name, run in SWEEP.items())
+    every = " UNION ALL ".join(f"SELECT '{name}' AS run_id, * FROM dg{tag}" for name, tag in TAGS.items())
+    return f"""{W}, {SWEEP_CTE}, {diag}, dx AS ({every}), {TOTALS}, s AS (SELECT seq, run_id, changed_output_ratio,
+  CASE WHEN primary_history_attempts > 0 THEN historical_blend_pixels / CAST(primary_history_attempts AS DOUBLE) ELSE 0 END AS u FROM tt)
+ SELECT seq, run_id, round(changed_output_ratio, 9) AS changed_output_ratio, round(u, 9) AS history_use_ratio,
+  CAST(row_number() OVER (PARTITION BY seq ORDER BY changed_output_ratio DESC, run_id) AS INT) AS change_rank,
+  CAST(row_number() OVER (PARTITION BY seq ORDER BY u DESC, run_id) AS INT) AS use_rank FROM s"""
+
+
+@query("k3_sweep_scan", sweep_sql())
+def k3_scan(spark, sf):
+    from .scan_queries import sweep_scan
+
+    ranked = C.sweep_compare(D.run_totals(sweep_scan(spark, sf).diagnostics()))
+    return ranked.withColumns({c: F.round(c, 9) for c in ("changed_output_ratio", "history_use_ratio")})
+
+
 # --- timings from events ---------------------------------------------------------------------------
 
 STAGE = """CASE event_type WHEN 'click' THEN 'beauty_read' WHEN 'view' THEN 'vector_read' WHEN 'signup' THEN 'matte_read'

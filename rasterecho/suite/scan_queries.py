@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.segments import frame_dims, reset_frames, segments
-from ..plans.resume import resume_hard, resume_point, resume_trail, rollback
-from ..plans.scan import feedback_scan
-from ..plans.workspace import stored
+from ..model import runs_frame
+from ..operators.calibrate import preset_runs
+from ..operators.step import unpack_lines
+from ..plans.resume import plan_resume, resume_hard, resume_job, resume_point, resume_trail, rollback
+from ..plans.scan import committed_lines, feedback_scan, job_manifest
+from ..plans.workspace import new_folder, stored
 from . import sqlgen as S
 from .fixtures import FRAMES, RASTER_CTE, table
 from .raster_queries import W, doubles
@@ -205,3 +208,82 @@ def b5(spark, sf):
         }
     )
     return history_quality(broken)
+
+
+# --- a sweep: runs made as a table are scanned and ranked -------------------------------------------
+
+SWEEP = {name: S.RUNS[base] | {"run_id": name} | overrides for name, base, overrides in (
+    ("trail_target/low", "trail_target", {"persistence": 0.5}), ("trail_target/wide", "trail_target", {"block_size": 16}),
+    ("hard_full/low", "hard_full", {"persistence": 0.25}),
+)}
+TAGS = {name: f"w{i}" for i, name in enumerate(SWEEP)}
+SWEEP_CTE = ",\n".join(S.scan_cte(run, TAGS[name]) for name, run in SWEEP.items())
+
+
+def sweep_scan(spark, sf):
+    def make():
+        bases = runs_frame(spark, [S.RUNS["trail_target"], S.RUNS["hard_full"]])
+        given = "preset string, variant string, persistence double, block_size int"
+        overrides = spark.createDataFrame([("trail_target", "low", 0.5, None), ("trail_target", "wide", None, 16), ("hard_full", "low", 0.25, None)], given)
+        return feedback_scan(px(spark, sf), preset_runs(bases.withColumn("preset", F.col("run_id")), overrides))
+
+    return once(spark, sf, "sweep", make)
+
+
+@query("k2_sweep_scan", f"{W}, {SWEEP_CTE} " + " UNION ALL ".join(
+    f"SELECT '{name}' AS run_id, seq, frame, y, x, CAST(o_r AS DOUBLE) AS r, CAST(k AS DOUBLE) AS cov FROM sc{tag}" for name, tag in TAGS.items()))
+def k2_scan(spark, sf):
+    return doubles(sweep_scan(spark, sf).pixels().select("run_id", "seq", "frame", "y", "x", "r", "cov"), "r", "cov")
+
+
+# --- what a stopped job left, and how it goes on ----------------------------------------------------
+
+STOP = 4
+JOB_RUNS = ("hard_full", "trail_target")
+
+
+def stopped_job(spark, sf):
+    """A job of two runs that was stopped after four waves."""
+    def make():
+        job = new_folder(spark, "job")
+        feedback_scan(px(spark, sf), runs_frame(spark, [S.RUNS[r] for r in JOB_RUNS]), job=job, max_waves=STOP, counters=False)
+        return job
+
+    return once(spark, sf, "job", make)
+
+
+SEQS = f"rs AS (SELECT unnest({list(JOB_RUNS)}) AS run_id), sq AS (SELECT run_id, seq, seq LIKE 'AF%' AS lost FROM rs, (SELECT DISTINCT seq FROM px))"
+
+
+@query("g3_stopped_job", f"{W}, {SEQS} SELECT run_id, seq, 1 AS frame_start, {FRAMES} AS frame_end, '{','.join(map(str, range(1, STOP + 1)))}' AS completed FROM sq")
+def g3_job(spark, sf):
+    done = job_manifest(spark, stopped_job(spark, sf))
+    return done.select("run_id", "seq", "frame_start", "frame_end", F.array_join(F.col("completed").cast("array<string>"), ",").alias("completed"))
+
+
+def left_over(spark, sf):
+    """The images of the stopped job; some sequences have lost that of frame 3."""
+    def make():
+        lines = committed_lines(spark, stopped_job(spark, sf))
+        pixels = unpack_lines(lines, {c: c for c in "rgba"}, ("run_id", "seq", "frame"))
+        return stored(pixels.where("NOT (seq LIKE 'AF%' AND frame = 3)"), "left-over")
+
+    return once(spark, sf, "left-over", make)
+
+
+@query("f6_resume_plan", f"""{W}, {SEQS} SELECT run_id, seq, CASE WHEN lost THEN 2 ELSE {STOP} END AS last_frame, CASE WHEN lost THEN 3 ELSE {STOP + 1} END AS restart_frame,
+ CASE WHEN lost THEN 3 END AS recovery_reset_frame, CASE WHEN lost THEN 'clean' WHEN run_id = 'hard_full' THEN 'color' ELSE 'replay' END AS source,
+ CASE WHEN NOT lost AND run_id = 'trail_target' THEN 1 END AS replay_from FROM sq""")
+def f6_plan(spark, sf):
+    runs = runs_frame(spark, [S.RUNS[r] for r in JOB_RUNS])
+    plan = plan_resume(px(spark, sf), runs, job_manifest(spark, stopped_job(spark, sf)), left_over(spark, sf), policy="RESET")
+    return plan.select("run_id", "seq", "last_frame", "restart_frame", F.col("recovery_reset_frame").cast("int").alias("recovery_reset_frame"), "source", "replay_from")
+
+
+@query("f9_resume_job", f"{W}, " + ", ".join(S.scan_cte(S.RUNS[r], f"{t}{i}", z) for i, r in enumerate(JOB_RUNS) for t, z in (("p", ()), ("q", (3,)))) + " " + " UNION ALL ".join(
+    f"SELECT '{r}' AS run_id, seq, frame, y, x, CAST(o_r AS DOUBLE) AS r, CAST(k AS DOUBLE) AS cov FROM sc{t}{i} WHERE {w}"
+    for i, r in enumerate(JOB_RUNS) for t, w in (("p", f"seq NOT LIKE 'AF%' AND frame > {STOP}"), ("q", "seq LIKE 'AF%' AND frame >= 3"))))
+def f9_job(spark, sf):
+    runs = runs_frame(spark, [S.RUNS[r] for r in JOB_RUNS])
+    done = resume_job(px(spark, sf), runs, job_manifest(spark, stopped_job(spark, sf)), left_over(spark, sf), policy="RESET", counters=False)
+    return doubles(done.scan.pixels().select("run_id", "seq", "frame", "y", "x", "r", "cov"), "r", "cov")
