@@ -25,6 +25,7 @@ from ..operators.manifest import fingerprint, manifest_commit
 from ..operators.quality import checked_dims, lines_usable, setting_reasons
 from ..operators.segments import segments, with_live
 from ..operators.step import KEY, Semantics, advance, clean_start, pack_lines, unpack_lines
+from .coverage import prefix_rounds, stays_in_place
 from .workspace import existing, new_folder
 
 LINE_CHANNELS = ("r", "g", "b", "a", "m")
@@ -107,7 +108,8 @@ def feedback_scan(
     ``runs`` is a table of settings (``run_id`` and those that differ from the defaults), of any number of rows: they are
     joined, never written into the plan. ``assignments`` (run_id, seq) limits which run handles which sequence, and with
     ``frame_from, frame_to`` which frames. ``state`` continues from stored lines instead of a clean start. ``max_waves`` stops
-    at a frame boundary and keeps what is finished. ``color=False`` follows trail coverage only. A frame with an illegal or
+    at a frame boundary and keeps what is finished. ``color=False`` follows trail coverage only, and without waves where it needs no
+    gather. A frame with an illegal or
     missing pixel stops its sequence there; a run with an illegal setting and a pair whose stored lines are damaged do nothing.
     All of them are rows of ``failures``.
 
@@ -121,6 +123,10 @@ def feedback_scan(
     _same_work(spark, root, signature, done)
     plan = _written(spark, lambda: plan_frames(px, jobs, resets, policy, state).join(jobs, ["run_id", "seq"]), f"{root}/plan", -1 in done)
     ready = plan.where(F.col("state_error").isNull())
+    still = None
+    if not color and not counters and state is None and job is None and max_waves is None:
+        still = _still_coverage(px, ready.where(stays_in_place()), root)
+        ready = ready.where(~stays_in_place())
     last = ready.agg(F.max("pos")).first()[0]
     waves = 0 if last is None else last + 1
     if max_waves is not None:
@@ -169,12 +175,30 @@ def feedback_scan(
         if pos == 0 and state is not None:
             prev = finished.unionByName(_seed(state, ready, finished), allowMissingColumns=True)
     lines_out = spark.read.schema(finished.schema).parquet(*paths)
+    if still is not None:
+        lines_out = lines_out.unionByName(still)
     failures = plan.where(F.col("state_error").isNotNull()).groupBy("run_id", "seq").agg(
         F.min("frame").alias("frame"), F.min_by("state_error", "frame").alias("reason")
     )
     return ScanResult(lines_out, failures, waves, root)
 
 
+def _still_coverage(px: DataFrame, ready: DataFrame, root: str) -> DataFrame:
+    """The coverage lines of runs whose coverage stays in place, in as many rounds as the longest segment has binary digits."""
+    longest = (ready.agg(F.max("pos")).first()[0] or 0) + 1
+    places = ready.select(*KEY, "frame", "pos", "h", "trail_decay")
+    packed = pack_lines(px.join(ready.select("seq", "frame").distinct(), ["seq", "frame"], "left_semi").select("seq", "frame", "y", "x", "m"), ("m",))
+    mattes = packed.withColumnRenamed("m", "k").join(places, ["seq", "frame"])
+
+    def write(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{root}/still/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{root}/still/{name}")
+
+    done = prefix_rounds(write(mattes, "round=0"), longest, write)
+    bare = F.array().cast("array<float>")
+    return done.select(*KEY, "frame", "y", "w", "h", *[bare.alias(c) for c in "rgba"], "k", (F.col("pos") == 0).alias("reset"))
+
+
 def committed_waves(spark: SparkSession, job: str) -> set[int]:
     """The waves of a job whose write is complete; -1 stands for its plan. One number per wave."""
     log = existing(spark, f"{job}/log", LOG)

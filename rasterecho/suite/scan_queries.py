@@ -85,6 +85,17 @@ def f3(spark, sf):
     return doubles(result.coverage(), "cov")
 
 
+#: A trail whose coverage stays in its place, so that it is followed without waves.
+STILL = S.RUNS["trail_full"] | {"run_id": "still", "trail_motion_mix": 0.0}
+
+
+@query("f3_coverage_prefix", f"{W}, {S.scan_cte(STILL, '', S.RESETS[:1])} "
+       "SELECT 'still' AS run_id, seq, frame, y, x, CAST(k AS DOUBLE) AS cov FROM sc")
+def f3_prefix(spark, sf):
+    listed = resets(spark, sf).where(F.col("frame") == S.RESETS[0])
+    return doubles(feedback_scan(px(spark, sf), [STILL], listed, color=False, counters=False).coverage(), "cov")
+
+
 for _run in ("hard_target", "trail_target", "hard_full", "trail_full", "refresh"):
 
     @query(f"f4_feedback_scan_{_run}", scan_sql(_run))
