@@ -13,9 +13,10 @@ from ..operators.quality import complete_prefix
 from ..plans.scan import feedback_scan
 
 
-def frame_stream(spark: SparkSession, path: str, *, max_files: int = 1) -> DataFrame:
-    """Pixels of newly arrived frame files."""
-    return spark.readStream.schema(PX_SCHEMA).option("maxFilesPerTrigger", max_files).parquet(path)
+def frame_stream(spark: SparkSession, path: str, *, max_files: int | None = None) -> DataFrame:
+    """Pixels of newly arrived frame files, all that are there or at most ``max_files`` in a trigger."""
+    reader = spark.readStream.schema(PX_SCHEMA)
+    return (reader if max_files is None else reader.option("maxFilesPerTrigger", max_files)).parquet(path)
 
 
 @dataclass(frozen=True)

@@ -21,47 +21,37 @@ from .shared import px
 # --- streams -----------------------------------------------------------------------------------------
 
 
-def deliver(spark, sf, order):
-    """The raster as one file per frame number, written in the given order of arrival."""
-    root = new_folder(spark, "arriving")
+def run_stream(spark, sf, arrivals, run):
+    """The frames of each arrival are written by as many tasks as they fill, then the stream takes them and stops until the next."""
+    tables, root, checkpoint = StreamTables(new_folder(spark, "stream")), new_folder(spark, "arriving"), new_folder(spark, "checkpoint")
     base = px(spark, sf).select(*PX_SCHEMA.fieldNames())
-    for frame in order:
-        base.where(F.col("frame") == frame).coalesce(1).write.mode("append").parquet(root)
-    return root
-
-
-def run_stream(spark, sf, order, run):
-    tables = StreamTables(new_folder(spark, "stream"))
-    frames = frame_stream(spark, deliver(spark, sf, order), max_files=2)
-    stream = stream_feedback(frames, tables, [S.RUNS[run]], new_folder(spark, "checkpoint"))
-    stream.awaitTermination()
-    if stream.exception():
-        raise stream.exception()
+    for frames in arrivals:
+        base.where(F.col("frame").isin(*frames)).repartition("seq", "y").write.mode("append").parquet(root)
+        finish(stream_feedback(frame_stream(spark, root), tables, [S.RUNS[run]], checkpoint))
     done = finished_frames(spark, tables)
     return unpack_lines(done, {"r": "r", "g": "g", "b": "b", "a": "a", "k": "cov"}, ("run_id", "seq", "frame"))
 
 
 @query("j1_stream_feedback", scan_sql("trail_full"))
 def j1(spark, sf):
-    return of_run(run_stream(spark, sf, tuple(range(1, FRAMES + 1)), "trail_full"), "trail_full")
+    return of_run(run_stream(spark, sf, [range(i, min(i + 2, FRAMES + 1)) for i in range(1, FRAMES + 1, 2)], "trail_full"), "trail_full")
 
 
 @query("j2_stream_gap_hold", scan_sql("hard_full"))
 def j2(spark, sf):
     """Frames 4 and 6 arrive early and wait."""
-    return of_run(run_stream(spark, sf, (1, 2, 4, 6, 3, 5, 7), "hard_full"), "hard_full")
+    return of_run(run_stream(spark, sf, ((1, 2), (4, 6), (3, 5), (7,)), "hard_full"), "hard_full")
 
 
-def counter_stream(spark, sf):
-    """The counters of the line-item runs as files in frame order."""
+def over_counters(spark, sf, order, start):
+    """The counters of the line-item runs arrive in three parts, in the given order; ``start`` makes the stream that takes each."""
     root = new_folder(spark, "counters")
     rows = counters(spark, sf, True)
-    schema = rows.schema
     third = F.ntile(3).over(Window.partitionBy("run_id", "seq").orderBy("frame_number"))
     parts = rows.withColumn("_part", third)
-    for part in (1, 2, 3):
-        parts.where(F.col("_part") == part).drop("_part").coalesce(1).write.mode("append").parquet(root)
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(root)
+    for part in order:
+        parts.where(F.col("_part") == part).drop("_part").repartition("run_id", "seq").write.mode("append").parquet(root)
+        finish(start(spark.readStream.schema(rows.schema).parquet(root)))
 
 
 def finish(stream):
@@ -82,8 +72,9 @@ def j3(spark, sf):
     def keep(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    finish(stream_totals(counter_stream(spark, sf)).writeStream.outputMode("update").foreachBatch(keep).option(
-        "checkpointLocation", new_folder(spark, "checkpoint")).trigger(availableNow=True).start())
+    checkpoint = new_folder(spark, "checkpoint")
+    over_counters(spark, sf, (1, 2, 3), lambda arriving: stream_totals(arriving).writeStream.outputMode("update").foreachBatch(keep).option(
+        "checkpointLocation", checkpoint).trigger(availableNow=True).start())
     rows = spark.read.parquet(out)
     newest = rows.groupBy("run_id", "seq").agg(F.max("batch").alias("batch"))
     return rows.join(newest, ["run_id", "seq", "batch"], "left_semi").drop("batch")
@@ -91,13 +82,15 @@ def j3(spark, sf):
 
 @query("j4_stream_advice_once", f"WITH {COUNTERS}, {RUNNING}, {advice_sql('rt', 'ra')}, {FIRST} SELECT run_id, seq, frame_number FROM fa")
 def j4(spark, sf):
+    """The middle part of the frames arrives first and waits."""
     out = new_folder(spark, "advice")
 
     def keep(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    finish(stream_advice_once(counter_stream(spark, sf)).writeStream.outputMode("append").foreachBatch(keep).option(
-        "checkpointLocation", new_folder(spark, "checkpoint")).trigger(availableNow=True).start())
+    checkpoint = new_folder(spark, "checkpoint")
+    over_counters(spark, sf, (2, 1, 3), lambda arriving: stream_advice_once(arriving).writeStream.outputMode("append").foreachBatch(keep).option(
+        "checkpointLocation", checkpoint).trigger(availableNow=True).start())
     return spark.read.schema("run_id string, seq string, frame_number int, batch int").parquet(out).drop("batch")
 
 
