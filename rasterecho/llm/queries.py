@@ -110,7 +110,8 @@ def _url_list(pages: DataFrame) -> DataFrame:
 
 
 URL_SQL = r"""
-WITH named AS (SELECT page_id, url, CAST((page_id * 37) % 730 AS INT) AS day, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)) AS host FROM pages),
+WITH named AS (SELECT page_id, url, CAST((page_id * 37) % 730 AS INT) AS day, lower(regexp_replace(regexp_replace(regexp_replace(
+            regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', ''), '\.$', '')) AS host FROM pages),
 hosts AS (SELECT DISTINCT host FROM named WHERE host <> ''),
 drawn AS (SELECT host AS pattern, CAST('0x' || substr(md5(host), 1, 4) AS INT) AS a, CAST('0x' || substr(md5(host), 5, 4) AS INT) AS b, CAST('0x' || substr(md5(host), 9, 4) AS INT) AS c FROM hosts),
 listed AS (SELECT *, CASE WHEN contains(pattern, 'adult') THEN 'adult' WHEN a % 2 = 0 THEN 'spam' ELSE 'malware' END AS category FROM drawn WHERE a % 3 = 0 OR contains(pattern, 'adult')),

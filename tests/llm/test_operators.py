@@ -191,6 +191,20 @@ def test_url_list(spark):
     got = {r.page_id: (r.n_active, r.category, r.blocked) for r in url_filter.apply_list(captures, entries).collect()}
     assert got == {1: (1, "spam", True), 2: (1, "bad", True), 3: (1, "spam", True), 4: (0, None, False), 5: (0, None, False), 6: (0, None, False), 7: (0, None, False)}
     assert url_filter.apply_list(captures, entries.limit(0)).where("blocked").count() == 0
+    assert url_filter.apply_list(captures.limit(0), entries).count() == 0
+
+
+def test_hosts_of_urls(spark):
+    """User info, ports, final dots and letters of any case do not hide a host; clashing columns stay, repeated captures too."""
+    hidden = ["http://user:pw@bad.com/", "http://user@bad.com/", "http://bad.com./x", "HTTP://BAD.com:8080?q", "ftp://a@b@www.Bad.Com.:21#f", "http://bad.com"]
+    clear = ["http://bad.com@good.org/", "http://notbad.com/", "http://bad.com.org/", "mailto:x@bad.com", "http://:80/", "http:///bad.com", "//bad.com/"]
+    rows = [(i, u, 5, "n", "s", "h") for i, u in enumerate([*hidden, *clear])] * 2
+    captures = spark.createDataFrame(rows, "page_id int, url string, day int, now string, spans string, host string")
+    entries = spark.createDataFrame([("BAD.com", "spam", 1, "add")], "pattern string, category string, day int, action string")
+    found = url_filter.apply_list(captures, entries)
+    assert {"now", "spans", "page_id", "url", "day", "host", "n_active", "category", "blocked"} == set(found.columns)
+    got = sorted((r.page_id, r.blocked, r.now) for r in found.collect())
+    assert got == sorted([(i, i < len(hidden), "n") for i in range(len(hidden) + len(clear))] * 2)
 
 
 def test_licenses(spark, awkward, nothing):
