@@ -1,7 +1,8 @@
 """Exact n-gram Jaccard join by inverted lists with set-relation skipping.
 
-* Sets are sorted in one order of all shingles, common ones last. Two sets that link share a shingle among the first of each, so only
-  those are listed. A list entry knows its place in its set; from it follows the largest partner it can still link with (``reach``).
+* Sets are sorted in one order of all shingles: first those that no other set seems to hold, common ones last. Two sets that link share
+  a shingle among the first of each, so only those are listed. A list entry knows its place in its set; from it follows the largest
+  partner it can still link with (``reach``).
 * Lists are cut into blocks by size and place. Whole blocks are skipped by their least size and greatest reach; of lists with the same
   members only the first in the order is kept, as it reaches furthest.
 * Relations between sets spare the rest: equal sets are one class; a list is first answered for one of its sets (a star around the class
@@ -33,6 +34,10 @@ SHINGLE = 3
 SIMILARITY = 90  # percent
 #: A listed shingle is common if more than one in so many entries are its own; so at most so many can be, which bounds what is broadcast.
 COMMON, LEAST_COMMON = 20_000, 50
+#: Bits that say of a shingle whether several sets hold it. They only choose the order: when they fill up, it is that of the hashes.
+SHARED_BITS, SHARED_CHUNK = 1 << 25, 1 << 13
+#: How many times as many shingles are counted as are listed.
+COUNTED = 2
 STARS = 2
 #: Members of a part of a block, and their shingles: bounds of a task's memory.
 PART, PART_SHINGLES = 512, 1_000_000
@@ -93,26 +98,35 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _fronts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cls, front): the listed shingles of each text by their hashes alone, to be counted."""
+    """(cls, front): the first shingles of each text by their hashes alone, to be counted."""
     for batch in batches:
         sets = [s for s in sets_of(batch.column(0)) if len(s)]
-        yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.binary()), pa.array([_signed(s[: listed(len(s))]) for s in sets], pa.list_(pa.int64()))], ["cls", "front"])
+        yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.binary()), pa.array([_signed(s[: COUNTED * listed(len(s))]) for s in sets], pa.list_(pa.int64()))], ["cls", "front"])
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch], common: np.ndarray) -> Iterator[pa.RecordBatch]:
+class Order:
+    """The order of all shingles: by hash, but shared ones after those held once, and common ones after all."""
+
+    def __init__(self, shared: np.ndarray, common: np.ndarray) -> None:
+        self.shared, self.common = shared, common
+
+    def front(self, shingles: np.ndarray) -> np.ndarray:
+        """The listed shingles of a sorted set, first to last."""
+        bit = shingles & np.uint64(SHARED_BITS - 1)
+        level = (self.shared[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1
+        level[np.isin(shingles, self.common)] = 2
+        return shingles[np.argsort(level, kind="stable")][: listed(len(shingles))]
+
+
+def _fingerprints(batches: Iterator[pa.RecordBatch], order: Order) -> Iterator[pa.RecordBatch]:
     names = ["id", "n_shingles", "cls", "front", "bits"]
     for batch in batches:
         sizes, classes, fronts, maps = [], [], [], []
         for s in sets_of(batch.column(1)):
             sizes.append(len(s))
-            if not len(s):
-                for column in (classes, fronts, maps):
-                    column.append(None)
-                continue
-            last = np.isin(s, common)
-            classes.append(class_of(s))
-            fronts.append(_signed(np.concatenate([s[~last], s[last]])[: listed(len(s))]))
-            maps.append(bitmap(s).tobytes())
+            classes.append(class_of(s) if len(s) else None)
+            fronts.append(_signed(order.front(s)) if len(s) else None)
+            maps.append(bitmap(s).tobytes() if len(s) else None)
         columns = [pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(fronts, pa.list_(pa.int64())), pa.array(maps, pa.binary())]
         yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names)
 
@@ -143,30 +157,44 @@ def _full_sets(needed: DataFrame, classes: DataFrame, documents: DataFrame, id_c
     return keep(sets.dropDuplicates(["cls"]), "sets")
 
 
-def common_shingles(documents: DataFrame, text_col: str) -> np.ndarray:
-    """Shingles with more than one in ``COMMON`` of all entries that the classes would list by hash alone: at most ``COMMON`` of them."""
-    fronts = documents.select(text_col).mapInArrow(_fronts, "cls binary, front array<bigint>").dropDuplicates(["cls"])
-    fronts = keep(fronts.select("front"), "fronts")
-    total = fronts.agg(F.sum(F.size("front"))).first()[0] or 0
-    found = fronts.select(F.explode("front").alias("token")).groupBy("token").count().where(F.col("count") > max(LEAST_COMMON, total // COMMON))
-    return np.array(sorted(r.token for r in found.collect()), np.int64).view(np.uint64) ^ np.uint64(1 << 63)
-
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for places in batch.column(1).to_pylist():
+            bits = np.zeros(SHARED_CHUNK, np.uint8)
+            bits[places] = 1
+            out.append(np.packbits(bits, bitorder="little").tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["chunk", "bits"])
 
-def inverted_lists(classes: DataFrame, common: np.ndarray) -> DataFrame:
-    """(token, n, cls, size, reach): entries of the lists with at least two members, one list of those with equal members.
 
-    Common shingles are last in the order of all.
-    """
+def order_of(documents: DataFrame, text_col: str) -> Order:
+    """Counts the first shingles of all classes. Common are those with more than one in ``COMMON`` of all entries, so at most ``COMMON``."""
+    fronts = documents.select(text_col).mapInArrow(_fronts, "cls binary, front array<bigint>").dropDuplicates(["cls"])
+    counts = fronts.select(F.explode("front").alias("token")).groupBy("token").count().where(F.col("count") > 1)
+    counts = keep(counts, "counts")
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    common = counts.where(F.col("count") > max(LEAST_COMMON, total // COMMON)).select("token").collect()
+    bit = F.col("token").bitwiseAND(F.lit(SHARED_BITS - 1))
+    chunks = counts.select((bit / SHARED_CHUNK).cast("int").alias("chunk"), (bit % SHARED_CHUNK).cast("int").alias("at")).groupBy("chunk").agg(F.collect_set("at"))
+    # Fixed size: a row of SHARED_CHUNK bits for each chunk.
+    shared = np.zeros(SHARED_BITS // 8, np.uint8)
+    for row in chunks.mapInArrow(_packed, "chunk int, bits binary").collect():
+        shared[row.chunk * SHARED_CHUNK // 8 : (row.chunk + 1) * SHARED_CHUNK // 8] = np.frombuffer(row.bits, np.uint8)
+    return Order(shared, np.array(sorted(r.token for r in common), np.int64).view(np.uint64) ^ np.uint64(1 << 63))
+
+
+def inverted_lists(classes: DataFrame) -> DataFrame:
+    """(token, n, cls, size, reach): entries of the lists with at least two members, one list of those with equal members."""
     # 19 * rest >= 9 * (size + other) at 90 percent: what is left of the set from here on must hold all that the two share.
     most = F.floor((100 + SIMILARITY) * (F.col("n_shingles") - F.col("at")) / SIMILARITY) - F.col("n_shingles")
     entries = classes.select("cls", "n_shingles", F.posexplode("front").alias("at", "token"))
-    entries = entries.select("token", "cls", F.col("n_shingles").alias("size"), most.alias("reach"))
-    lists = entries.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "cls")).alias("y"))
-    late = classes.sparkSession.createDataFrame([(int(t), 1) for t in _signed(common)], "token bigint, late int")
-    # Proven small: COMMON rows at most.
-    lists = lists.where("n > 1").join(F.broadcast(late), "token", "left").withColumn("late", F.coalesce("late", F.lit(0)))
-    firsts = lists.groupBy("n", "x", "y").agg(F.min(F.struct("late", "token"))["token"].alias("token"))
-    return keep(entries.join(firsts.select("token", "n"), "token"), "lists")
+    entries = entries.select("token", "at", "cls", F.col("n_shingles").alias("size"), most.alias("reach"))
+    lists = entries.groupBy("token").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "cls")).alias("y"), F.min_by("at", "cls").alias("place")
+    )
+    # Equal members hold the shingles of their lists in one order, so any one of them tells which is first.
+    firsts = lists.where("n > 1").groupBy("n", "x", "y").agg(F.min(F.struct("place", "token"))["token"].alias("token"))
+    return keep(entries.drop("at").join(firsts.select("token", "n"), "token"), "lists")
 
 
 def _compatible(a: str, b: str) -> Column:
@@ -409,8 +437,7 @@ def _rest(lists: DataFrame, labels: DataFrame, classes: DataFrame, documents: Da
 def similar_sets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable by links)."""
     kind = documents.schema[id_col].dataType.simpleString()
-    common = common_shingles(documents, text_col)
-    sent = documents.sparkSession.sparkContext.broadcast(common)
+    sent = documents.sparkSession.sparkContext.broadcast(order_of(documents, text_col))
     prints = documents.select(id_col, text_col).mapInArrow(
         lambda b: _fingerprints(b, sent.value), f"id {kind}, n_shingles bigint, cls binary, front array<bigint>, bits binary"
     )
@@ -418,7 +445,7 @@ def similar_sets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     first = lambda c: F.first(c).alias(c)
     classes = prints.where("n_shingles > 0").groupBy("cls").agg(F.min("id").alias("id"), first("n_shingles"), first("front"), first("bits"))
     classes = keep(classes, "classes")
-    lists = inverted_lists(classes, common)
+    lists = inverted_lists(classes)
     lists = keep(lists.join(lists.groupBy("cls").agg(F.sum("n").alias("degree")), "cls"), "degrees")
     tested = links = labels = None
     for _ in range(STARS):
