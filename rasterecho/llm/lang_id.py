@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import give_back
 from .textbytes import slabs
 
 ORDER = 3
@@ -197,6 +198,7 @@ def identify(documents: DataFrame, model: Model, id_col: str = "doc_id", text_co
                 langs = [m.langs[i] if k else "und" for i, k in zip(bits.argmin(axis=1), known, strict=True)]
                 found = [pa.array(langs, pa.string()), pa.array(np.where(known, share, 0.0)), pa.array(np.where(known, rate, 0.0))]
                 yield pa.RecordBatch.from_arrays([*part.columns[1 : 1 + len(kinds)], *found], [*(k for k, _ in kinds), *verdicts])
+        give_back()
 
     letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     rows = documents.select(letter.alias("__letter"), *(F.col(c).alias(k) for c, (k, _) in zip(taken, kinds, strict=True)), *([] if text_col in taken else [F.col(text_col).alias("__text")]))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import keep
+from .scratch import give_back, keep
 from .textbytes import NON_SPACE, mix, sequence_hash, slabs, word_bounds, word_hashes
 
 SHINGLE = 5
@@ -92,6 +92,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             [ids, pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(signatures, pa.binary())],
             ["id", "n_shingles", "cls", "bands", "signature"],
         )
+    give_back()
 
 
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from rasterecho.plans.workspace import stored
 
-__all__ = ["keep"]
+__all__ = ["give_back", "keep"]
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
     return stored(df, f"llm-{name}")
+
+
+def give_back() -> None:
+    """At the end of a task: memory that is free but still held by this worker goes back to the system, as Spark reuses workers."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

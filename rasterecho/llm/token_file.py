@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import keep
+from .scratch import give_back, keep
 from .textbytes import slabs
 
 CHUNK_BITS = 8
@@ -231,6 +231,9 @@ def _coded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
                 size += len(codes)
     if rows:
         yield flush()
+    # What the next task of this worker will hardly ask for goes: the pieces that only the older half remembers.
+    _encoders[path].older = {}
+    give_back()
 
 
 def write_tokens(documents: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
