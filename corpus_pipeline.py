@@ -9,9 +9,16 @@ from rasterecho.llm.queries import language_model, table
 from rasterecho.llm.scratch import keep
 from rasterecho.llm.tokenizers import word_tokenizer
 
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that a language model accepts. Rows that share an id are judged each by its own text."""
+    """Keeps documents that a language model accepts. Rows that share an id are judged each by its own text.
+
+    From here on rows go to the workers in batches of ``BATCH_ROWS``, which bounds what a worker holds of whole texts.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     rows = lang_id.identify(docs, language_model(docs), keep_columns=True)
     return rows.where("accepted").select(docs.columns)
 
