@@ -37,13 +37,16 @@ LABELLED_PAGES = (
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg)\b.*?(?:</\1\s*>|\Z)|<(/?)([A-Za-z][A-Za-z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<![^>]*>|<\?[^>]*>", re.S | re.I)
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-_INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+_INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _NEVER = frozenset("head title script style noscript template nav footer aside form button select option textarea input iframe svg object dialog menu label".split())
 _CLOSED_BY_BLOCK = frozenset(["p"])
-_NAME = r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side|menu|nav(?:bar|igation)?|breadcrumbs?|footer|comments?|respond|cookies?|consent|notice|popup|modal|newsletter|subscribe|share|sharing|social|related|widgets?|toolbar|login|search)"
-#: Parts of a class that say nothing against the name beside them, as in comment-list; has-sidebar or search-results name no boilerplate.
-_BESIDE = r"(?:site|top|bottom|main|box|bar|block|area|list|item|items|links?|icons?|buttons?|form|section|inner|post|posts|policy|slot|unit)"
-_NAMED = re.compile(rf"(?:^|\s)(?:{_BESIDE}[_-])*{_NAME}(?:[_-](?:{_NAME}|{_BESIDE}))*(?:$|\s)", re.I)
+_NAME = re.compile(
+    r"ads?|adsby\w+|advert\w*|sponsor\w*|promo\w*|banners?|(?:side|nav|menu)bar|sidebars?|side|menus?|nav|navigation|breadcrumbs?|footers?|"
+    r"comments?|comment(?:list|s?area|box|form)|disqus\w*|respond|replies|cookies?|consent|gdpr|notices?|popups?|modal|newsletters?|subscribe|"
+    r"share|sharing|social|related|widgets?|toolbar|login|search", re.I)
+#: Parts of a class that turn a name beside them into a word on layout: has-sidebar or search-results name no boilerplate.
+_LAYOUT = frozenset("has no not with without is are open opened closed enabled disabled active results result hidden visible page-wrap".split())
+_PARTS = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
 _ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 #: What a named block costs when it is read after all, and how many times the region elsewhere it must outweigh.
@@ -54,15 +57,20 @@ def tokens_of(page: str) -> list[tuple]:
     """('word', text, block) and ('open' | 'close', tag, attributes) in page order; scripts and comments are gone."""
     out: list[tuple] = []
     stack: list[str] = []
+    blocks = [""]  # for each depth the innermost element that is no mere style, so that no text has to look for it
+    open_tags: Counter[str] = Counter()
     at = 0
 
     def close(depth: int) -> None:
         while len(stack) > depth:
-            out.append(("close", stack.pop(), ""))
+            tag = stack.pop()
+            blocks.pop()
+            open_tags[tag] -= 1
+            out.append(("close", tag, ""))
 
     def text(raw: str) -> None:
         if raw:
-            out.append(("word", html.unescape(raw), next((t for t in reversed(stack) if t not in _INLINE or t == "a"), "")))
+            out.append(("word", html.unescape(raw), blocks[-1]))
 
     for m in _TOKEN.finditer(page):
         text(page[at : m.start()])
@@ -71,8 +79,10 @@ def tokens_of(page: str) -> list[tuple]:
             continue
         tag = m[3].lower()
         if m[2]:
-            if tag in stack:
-                close(len(stack) - 1 - stack[::-1].index(tag))
+            if open_tags[tag]:
+                while stack[-1] != tag:
+                    close(len(stack) - 1)
+                close(len(stack) - 1)
             continue
         if tag not in _INLINE and tag not in _VOID:
             # A block ends an open paragraph and what is inside it; a list item ends the one before it.
@@ -87,6 +97,8 @@ def tokens_of(page: str) -> list[tuple]:
             out.append(("close", tag, ""))
         else:
             stack.append(tag)
+            blocks.append(tag if tag not in _INLINE or tag == "a" else blocks[-1])
+            open_tags[tag] += 1
     text(page[at:])
     close(0)
     return out
@@ -134,6 +146,15 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 HARD, SOFT = "hard", "soft"
 
 
+def _named(value: str) -> bool:
+    """Whether a class, id or role names boilerplate: one of its parts is such a name, and no part beside it is a word on layout."""
+    for name in value.split():
+        parts = _PARTS.split(name)
+        if any(_NAME.fullmatch(p) for p in (name, *parts)) and not any(p.lower() in _LAYOUT for p in parts):
+            return True
+    return False
+
+
 def _boilerplate(token: tuple) -> str | None:
     """Whether an element is left out for what it is (HARD), or for what it seems to be by name (SOFT; forms may hold whole pages)."""
     if token[1] in _NEVER and token[1] != "form":
@@ -143,7 +164,7 @@ def _boilerplate(token: tuple) -> str | None:
         name = name.lower()
         if name == "hidden" or name == "style" and _NO_DISPLAY.search(a or b or c):
             return HARD
-        named = named or name in ("class", "id", "role") and bool(_NAMED.search(a or b or c))
+        named = named or name in ("class", "id", "role") and _named(a or b or c)
     return SOFT if named else None
 
 

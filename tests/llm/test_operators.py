@@ -154,6 +154,31 @@ def test_beside_the_text_stays_out(beside):
         assert html_text.main_text(page, html_text.Weights()) == PLAIN
 
 
+@pytest.mark.parametrize("name", [
+    "reader-comments", "user-comments", "comment-body", "google-ad", "gdpr-notice", "left-sidebar", "page-footer", "global-nav", "commentlist", "disqus_thread", "adsbygoogle",
+    "comment-list", "x comments", "mainMenu", "ad",
+])
+def test_named_blocks_inside_the_text_stay_out(name):
+    page = f"<body><nav><a>Home</a></nav><article>{BODY}<div class='{name}'><p>Nice post of you.</p></div></article></body>"
+    assert html_text.main_text(page, html_text.Weights()) == PLAIN
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "no-sidebar", "comments-open", "search-results", "overflow-hidden", "adapted", "navy", "shared", "padding", "loading-text"])
+def test_layout_words_name_no_boilerplate(name):
+    page = f"<article>{BODY}<div class='{name}'><p>One more line of the text.</p></div></article>"
+    assert html_text.main_text(page, html_text.Weights()) == f"{PLAIN} One more line of the text."
+
+
+def test_pages_take_linear_time():
+    import time
+
+    started = time.process_time()
+    for page in ("<b>x" * 60_000, "<b>" * 60_000 + "</i>" * 60_000, "<i>" + "<b>x</q>" * 60_000):
+        html_text.main_text(page, html_text.Weights())
+    assert time.process_time() - started < 20
+    assert html_text.main_text("<p>super<wbr>cali is one word here</p>", html_text.Weights()) == "supercali is one word here"
+
+
 def test_best_region():
     assert html_text.best_region([-1, 2, -1, 3, -5, 4]) == (1, 4)
     assert html_text.best_region([-1.0]) == (0, 0)
