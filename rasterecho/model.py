@@ -67,6 +67,7 @@ COUNTERS = (
     "changed_output_mean_absolute", "changed_output_max_absolute",
 )
 
+# Pass names, the marker of the orientation, the manifest's schema number, the limits of single precision.
 PASSES = ("beauty", "vector", "matte")
 IMAGE_ORIENTATION = "display_top_left_v1"
 MANIFEST_SCHEMA = 5

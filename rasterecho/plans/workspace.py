@@ -39,10 +39,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def existing(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+def existing(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
     """The table at ``path``, or None where nothing has been written yet. Only Spark's reader looks, so any store will do."""
     try:
-        return spark.read.schema(schema).parquet(path)
+        return (spark.read.schema(schema) if schema else spark.read).parquet(path)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import PASSES
+from ..plans.workspace import existing
 
 
 def frame_token(frame: Column, padding: int = 4) -> Column:
@@ -113,9 +114,9 @@ def matte_choice(frames: DataFrame, discovered: DataFrame, external: DataFrame)
     )
 
 
-def collisions(wanted: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
+def collisions(wanted: DataFrame, there: DataFrame, keys: list[str]) -> DataFrame:
     """Requested outputs that are already there."""
-    return wanted.join(existing, keys, "left_semi")
+    return wanted.join(there, keys, "left_semi")
 
 
 def sink_frames(pixels: DataFrame, path: str, *, overwrite: bool = False) -> None:
@@ -143,11 +144,8 @@ def sink_frames(pixels: DataFrame, path: str, *, overwrite: bool = False) -> Non
 
 
 def _frames_at(spark: SparkSession, path: str) -> DataFrame | None:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return None
-    found = spark.read.parquet(path)
-    return found.select("seq", "frame").distinct()
+    found = existing(spark, path)
+    return None if found is None else found.select("seq", "frame").distinct()
 
 
 def publish_staged(staged: DataFrame, published: DataFrame, keys: list[str], *, overwrite: bool = False) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..model import PX_SCHEMA
 from ..operators.quality import complete_prefix
 from ..plans.scan import feedback_scan
+from ..plans.workspace import existing
 
 
 def frame_stream(spark: SparkSession, path: str, *, max_files: int | None = None) -> DataFrame:
@@ -48,6 +49,11 @@ class StreamTables:
     def failures(self) -> str:
         return f"{self.root}/failures"
 
+    @property
+    def log(self) -> str:
+        """One row for each batch that is finished."""
+        return f"{self.root}/log"
+
 
 def stream_feedback(
     frames: DataFrame, tables: StreamTables, runs: list[dict[str, object]], checkpoint: str,
@@ -75,16 +81,9 @@ def stream_feedback(
     )
 
 
-def _table(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return None
-    return (spark.read.schema(schema) if schema else spark.read).parquet(path)
-
-
 def finished_frames(spark: SparkSession, tables: StreamTables, before: int | None = None) -> DataFrame | None:
     """Lines of all finished frames; ``before`` leaves out the given batch and later ones."""
-    done = _table(spark, tables.batches)
+    done = existing(spark, tables.batches)
     return done if done is None or before is None else done.where(F.col("batch") < before)
 
 
@@ -93,14 +92,12 @@ FAILURE = "run_id string, seq string, frame int, reason string"
 
 def failed_sequences(spark: SparkSession, tables: StreamTables, batch_id: int | None = None) -> DataFrame:
     """(run_id, seq, frame, reason) of each sequence that stands still after the given batch, or after the newest."""
-    found = _table(spark, tables.failures, f"{FAILURE}, batch int")
-    if found is None:
+    log = existing(spark, tables.log, "batch int")
+    if log is None:
         return spark.createDataFrame([], FAILURE)
-    if batch_id is None:
-        # A batch without failures has no row to tell it from one not run: the folders do.
-        folder = spark._jvm.org.apache.hadoop.fs.Path(tables.failures)
-        listed = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
-        batch_id = max(int(f.getPath().getName().removeprefix("batch=")) for f in listed if f.getPath().getName().startswith("batch="))
+    # A batch without failures has no row to tell it from one not run; the log does.
+    batch_id = log.agg(F.max("batch")).first()[0] if batch_id is None else batch_id
+    found = spark.read.schema(f"{FAILURE}, batch int").parquet(tables.failures)
     return found.where(F.col("batch") == batch_id).drop("batch")
 
 
@@ -147,6 +144,7 @@ def step(spark: SparkSession, tables: StreamTables, runs: list[dict[str, object]
     failures.write.mode("overwrite").parquet(tables.failed(batch_id))
     for i, part in enumerate(parts):
         part.lines.write.mode("overwrite" if i == 0 else "append").parquet(tables.batch(batch_id))
+    spark.range(1).select(F.lit(batch_id).cast("int").alias("batch")).coalesce(1).write.mode("append").parquet(tables.log)
 
 
 def as_catalog(frames: DataFrame) -> DataFrame:

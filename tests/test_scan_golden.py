@@ -9,6 +9,7 @@ from rasters import dense, px_frame, px_rows, state_lines
 from rasterecho.model import run_row
 from rasterecho.plans.scan import feedback_scan
 
+# Settings, and the digests of output and coverage that they must give.
 CASES = [
     ("HARD_LOCALIZED", "RG", True,
      "ff8b4547ef26ebc1fec4771f4f30f3e75ab6461c187cfa1893c498b536bef24d",
