@@ -280,5 +280,6 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     """The input without the documents in which a window of the benchmark occurs. The search runs beside the other columns."""
     place = "__at"
     rows = keep(documents.withColumn(place, F.monotonically_increasing_id()), "rows")
-    bad = find_benchmark(rows, benchmark, window, place, text_col).where(F.size("spans") > 0).select(place)
+    # Written first: Spark then knows the size, and where it is small no row of the documents is shuffled.
+    bad = keep(find_benchmark(rows, benchmark, window, place, text_col).where(F.size("spans") > 0).select(place), "contaminated")
     return rows.join(bad, place, "left_anti").select(documents.columns)

@@ -5,15 +5,47 @@ from __future__ import annotations
 import ctypes
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from rasterecho.plans.workspace import stored
+from rasterecho.plans.workspace import new_folder
 
-__all__ = ["give_back", "keep"]
+__all__ = ["forget", "give_back", "keep", "release", "track"]
+
+
+#: By application, the tables kept since ``track``.
+_kept: dict[str, list[str]] = {}
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
-    return stored(df, f"llm-{name}")
+    spark = df.sparkSession
+    path = new_folder(spark, f"llm-{name}")
+    df.write.parquet(path)
+    if spark.sparkContext.applicationId in _kept:
+        _kept[spark.sparkContext.applicationId].append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def track(spark: SparkSession) -> None:
+    """From now on the names of kept tables are remembered, for ``release``."""
+    _kept[spark.sparkContext.applicationId] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Empties the tables kept since ``track`` or the last release: for when what was made of them has been written elsewhere.
+
+    Without ``track`` nothing is emptied.
+    """
+    app = spark.sparkContext.applicationId
+    nothing = spark.range(0).coalesce(1)
+    for path in _kept.get(app, []):
+        nothing.write.mode("overwrite").parquet(path)
+    if app in _kept:
+        track(spark)
+
+
+def forget(spark: SparkSession) -> None:
+    """Ends ``track``; what was kept stays."""
+    _kept.pop(spark.sparkContext.applicationId, None)
 
 
 def give_back() -> None:
