@@ -1,4 +1,7 @@
-"""From raw documents to token files in five stages; each stage's rows are written as Parquet and read by the next."""
+"""From raw documents to token files in five stages; each stage's rows are written as Parquet and read by the next.
+
+As its input is written, a stage first empties the tables that the stages before it worked with.
+"""
 
 from __future__ import annotations
 
@@ -6,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rasterecho.llm import decontaminate, lang_id, mixing, near_dup, token_file
 from rasterecho.llm.queries import language_model, table
-from rasterecho.llm.scratch import keep
+from rasterecho.llm.scratch import forget, release, track
 from rasterecho.llm.tokenizers import word_tokenizer
+from rasterecho.plans.workspace import stored as keep
 
 #: Rows of an Arrow batch.
 BATCH_ROWS = 1000
@@ -18,6 +22,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     From here on rows go to the workers in batches of ``BATCH_ROWS``, which bounds what a worker holds of whole texts.
     """
+    track(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     rows = lang_id.identify(docs, language_model(docs), keep_columns=True)
     return rows.where("accepted").select(docs.columns)
@@ -25,22 +30,28 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays."""
+    release(spark)
     return near_dup.drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a benchmark window occurs go."""
+    release(spark)
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
+    release(spark)
     return mixing.take(docs)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes the token file; one row per document of the mix, read back from it."""
-    return token_file.read_documents(token_file.write_tokens(docs.select("doc_id", "text"), word_tokenizer()))
+    release(spark)
+    made = token_file.read_documents(token_file.write_tokens(docs.select("doc_id", "text"), word_tokenizer()))
+    forget(spark)
+    return made
 
 
 STAGES = [
