@@ -3,7 +3,8 @@
 The points of a golden-ratio sequence fall into the cumulative shares of the sources; each point is a slot of one block of
 ``BLOCK_WORDS`` words. A source's slots are ranked, slot r takes block r of the source's shuffled documents laid end to end (twice at
 most), and the last slot is trimmed so that the source ends at its target. The few slots by which a source's points fall short of its
-target are added at the end of the schedule, the few beyond it are dropped.
+target are added at the end of the schedule, the few beyond it are dropped. The slot in which a document's words begin is its place in
+the mix: rows in the order of their slots have every source at about its share in every stretch.
 
 Edge cases: a null source is a source of its own, last in order; null or empty texts have size 0 and are taken 0 times; repeated ids
 are rows of their own; sources without words have target 0; an empty table gives an empty mix. Extra columns are ignored.
@@ -21,6 +22,8 @@ SHARE, MOST = 1.5, 2
 BLOCK_WORDS = 1024
 #: Rows that one window task sums.
 PART_ROWS = 50_000
+#: Where a document's words begin in each turn.
+SLOTS = ("slot", "slot_again")
 _PERIOD, _STEP = 2**31, 1327217885  # an odd step near the period over the golden ratio
 
 
@@ -79,7 +82,10 @@ def schedule(sources: DataFrame) -> DataFrame:
 
 
 def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Per document: id, size, source_size, target (of its source), taken (words that the mix takes of it)."""
+    """Per document: id, size, source_size, target (of its source), taken (words that the mix takes of it), slot, slot_again.
+
+    The last two are the slots in which its words begin the first and the second time; null where it is not taken so often.
+    """
     shuffled = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
     sized = keep(documents.select(F.col(id_col).alias("id"), F.col(source_col).alias("key"), word_count(text_col).alias("size"), shuffled.alias("draw")), "sizes")
     sources = keep(targets(sized.groupBy("key").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))), "sources")
@@ -90,10 +96,10 @@ def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     passes = laid.withColumn("turn", F.explode(F.array(*(F.lit(i).cast("bigint") for i in range(MOST)))))
     passes = passes.withColumn("low", F.col("before") + F.col("turn") * F.col("source_size")).withColumn("high", F.col("low") + F.col("size"))
     pieces = passes.withColumn("rank", F.explode(F.sequence(F.floor(F.col("low") / BLOCK_WORDS), F.floor(F.greatest(F.col("low"), F.col("high") - 1) / BLOCK_WORDS))))
-    slots = schedule(sources).select("number", "rank", F.lit(True).alias("on"))
+    slots = schedule(sources)
     start = F.col("rank") * BLOCK_WORDS
     stop = F.least(start + BLOCK_WORDS, F.round("target").cast("bigint"))
-    words = F.when(F.col("on"), F.greatest(F.lit(0), F.least("high", stop) - F.greatest("low", start))).otherwise(0)
+    words = F.when(F.col("slot").isNotNull(), F.greatest(F.lit(0), F.least("high", stop) - F.greatest("low", start))).otherwise(0)
     joined = pieces.join(slots, ["number", "rank"], "left")
     return _per_row(joined, words, id_col)
 
@@ -101,14 +107,25 @@ def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 def _per_row(joined: DataFrame, words: Column, id_col: str) -> DataFrame:
     """Sums the pieces of each row; rows of size 0 lie at one place, so equal ones are counted by their first pieces."""
     first = F.when((F.col("turn") == 0) & (F.col("rank") == F.floor(F.col("low") / BLOCK_WORDS)), 1)
-    summed = joined.groupBy("id", "number", "before", "size", "source_size", "target").agg(F.sum(words).cast("bigint").alias("taken"), F.count(first).alias("rows"))
-    return summed.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int")))).select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
+    begins = [F.min(F.when((F.col("turn") == i) & (words > 0), F.col("slot"))).alias(name) for i, name in enumerate(SLOTS)]
+    summed = joined.groupBy("id", "number", "before", "size", "source_size", "target").agg(F.sum(words).cast("bigint").alias("taken"), F.count(first).alias("rows"), *begins)
+    rows = summed.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
+    return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", *SLOTS)
 
 
-def take(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: each document as often as it is taken, to whole documents (of a source at most one is cut, and rounded)."""
+def take(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", slot_col: str | None = None) -> DataFrame:
+    """The mix itself: each document as often as it is taken, to whole documents (of a source at most one is cut, and rounded).
+
+    With ``slot_col`` each copy carries its slot in a column of that name, in place of one that the documents have; who reads the rows
+    in that order reads the sources interleaved by their shares.
+    """
     place = "__at"
     rows = keep(documents.withColumn(place, F.monotonically_increasing_id()), "rows")
     copies = F.round(F.col("taken") / F.greatest("size", F.lit(1))).cast("int")
-    taken = mix(rows, place, text_col, source_col).select(place, copies.alias("__copies")).where("__copies > 0")
-    return rows.join(taken, place).withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(documents.columns)
+    begins = F.slice(F.array(*SLOTS), F.lit(1), copies)
+    taken = mix(rows, place, text_col, source_col).where(copies > 0).select(place, begins.alias("__slots"))
+    every = rows.join(taken, place).withColumn("__slot", F.explode("__slots"))
+    if slot_col is None:
+        return every.select(documents.columns)
+    others = [c for c in documents.columns if c.lower() != slot_col.lower()]
+    return every.select(*others, F.col("__slot").alias(slot_col))

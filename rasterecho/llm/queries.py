@@ -63,12 +63,24 @@ wt AS (SELECT *, CAST([5, 2, 1][(number - 1) % 3 + 1] AS DOUBLE) AS weight, 2 *
 lv AS (SELECT *, cap / weight AS ratio,
          (sum(source_size) OVER () * 1.5 - coalesce(sum(cap) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
        FROM wt WINDOW before AS (ORDER BY cap / weight, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-tg AS (SELECT source, source_size, least(cap, coalesce((min({'r': ratio, 'n': number, 'l': level}) FILTER (WHERE level <= ratio) OVER ()).l, 'infinity'::DOUBLE) * weight) AS target FROM lv),
-laid AS (SELECT s.doc_id, s.size, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS quota,
-           sum(s.size) OVER (PARTITION BY s.source ORDER BY s.draw, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - s.size AS pos
+tg AS (SELECT source, number, source_size, least(cap, coalesce((min({'r': ratio, 'n': number, 'l': level}) FILTER (WHERE level <= ratio) OVER ()).l, 'infinity'::DOUBLE) * weight) AS target FROM lv),
+bd AS (SELECT *, CAST(ceil(round(target) / 1024) AS BIGINT) AS blocks, sum(target) OVER (ORDER BY number) AS upto, sum(target) OVER () AS total FROM tg),
+pt AS (SELECT i AS slot, (i % 2147483648 * 1327217885 % 2147483648) / 2147483648.0::DOUBLE AS point FROM range((SELECT CAST(coalesce(sum(blocks), 0) AS BIGINT) FROM bd)) AS r(i)),
+pl AS (SELECT number, blocks, slot, row_number() OVER (PARTITION BY number ORDER BY slot) - 1 AS rank
+       FROM pt JOIN bd ON target > 0 AND point >= (upto - target) / total AND point < upto / total),
+sl AS (SELECT number, rank, slot FROM pl WHERE rank < blocks
+       UNION ALL
+       SELECT number, rank, (SELECT count(*) FROM pt) + rank
+       FROM (SELECT bd.number, unnest(range((SELECT count(*) FROM pl WHERE pl.number = bd.number AND rank < pl.blocks), bd.blocks)) AS rank FROM bd)),
+laid AS (SELECT s.doc_id, s.size, t.number, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS quota,
+           CAST(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.draw, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - s.size AS BIGINT) AS pos
          FROM sized s JOIN tg t ON s.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-  CAST(least(size, greatest(0, quota - pos)) + least(size, greatest(0, quota - source_size - pos)) AS BIGINT) AS taken FROM laid
+  CAST(least(size, greatest(0, quota - pos)) + least(size, greatest(0, quota - source_size - pos)) AS BIGINT) AS taken,
+  a.slot AS slot, b.slot AS slot_again
+FROM laid
+LEFT JOIN sl a ON a.number = laid.number AND a.rank = pos // 1024 AND size > 0 AND pos < quota
+LEFT JOIN sl b ON b.number = laid.number AND b.rank = (pos + source_size) // 1024 AND size > 0 AND pos + source_size < quota
 """
 
 

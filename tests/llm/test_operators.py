@@ -358,6 +358,21 @@ def test_mix(spark, awkward, nothing):
     assert mixing.take(awkward).columns == awkward.columns
 
 
+def test_mix_is_interleaved(spark, awkward):
+    docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), 100).alias("text"), (F.col("id") % 3).cast("string").alias("source"))
+    rows = mixing.take(docs, slot_col="slot").select("source", "slot").collect()
+    target = {"0": 600_000, "1": 500_000, "2": 250_000}
+    for n in (100, 400, 900, 1200):
+        for source, words in target.items():
+            assert abs(100 * sum(r.source == source and r.slot < n for r in rows) - n * 1024 * words / 1_350_000) <= 5 * 1024
+    found = mixing.mix(docs).collect()
+    assert all((r.slot is None) == (r.taken == 0) and (r.slot_again is None) == (r.taken <= r["size"]) for r in found if r.taken % 100 == 0)
+    assert all(r.slot < r.slot_again for r in found if r.slot_again is not None)
+    held = mixing.take(awkward, slot_col="N_chars")
+    assert held.columns == [*(c for c in awkward.columns if c != "n_chars"), "N_chars"]
+    assert held.count() == mixing.take(awkward).count() and held.where("N_chars IS NULL").count() == 0
+
+
 def test_schedule_is_even(spark):
     sources = spark.createDataFrame([("a", 1, 9, 1, 500_000.0, 1.0), ("b", 2, 9, 1, 250_000.0, 1.0), ("c", 3, 9, 1, 250_000.0, 1.0)], "key string, number int, source_size bigint, n bigint, target double, wanted double")
     slots = [r.number for r in mixing.schedule(sources).orderBy("slot").collect()]
