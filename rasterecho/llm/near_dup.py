@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import give_back, keep
+from .scratch import give_back, keep, small_batches
 from .textbytes import NON_SPACE, mix, sequence_hash, slabs, word_bounds, word_hashes
 
 SHINGLE = 5
@@ -108,6 +108,7 @@ def _class_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = [(c, s.tobytes()) for c, s in zip(batch.column(0).to_pylist(), _sets(batch.column(1)), strict=True) if len(s) and class_of(s) == c]
         yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.binary()), pa.array([s for _, s in out], pa.binary())], ["cls", "shingles"])
+    give_back()
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,6 +121,7 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 both = len(np.intersect1d(x, y, assume_unique=True))
             good.append(100 * both >= SIMILARITY * (len(x) + len(y) - both))
         yield b.filter(pa.array(good, pa.bool_())).select([0, 1])
+    give_back()
 
 
 EDGE = "a binary, b binary"
@@ -280,12 +282,8 @@ def _star(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return pairs.select(F.least("cls", "center").alias("a"), F.greatest("cls", "center").alias("b")).distinct()
 
 
-def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_shingles, component_id, kept.
-
-    Every bucket is first compared as a star around one of its classes, then around another. Buckets whose members are then still in different
-    components are compared across those components in chunks, so no link between different texts is lost to a bucket's size.
-    """
+def _labelled(documents: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The rows' sizes and classes, and the component of each class that has a link; both kept."""
     prints = keep(documents.select(id_col, text_col).mapInArrow(_fingerprints, f"id {documents.schema[id_col].dataType.simpleString()}, n_shingles bigint, cls binary, bands array<bigint>, signature binary"), "prints")
     full = prints.where("n_shingles > 0")
     classes = keep(full.groupBy("cls").agg(F.min("id").alias("id"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")), "classes")
@@ -309,6 +307,17 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     rest = _rest(members.select("key", "cls"), labels, classes, documents, id_col, text_col)
     if rest is not None and not rest.isEmpty():
         labels = components(links.union(rest))
+    return prints, labels
+
+
+def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, n_shingles, component_id, kept.
+
+    Every bucket is first compared as a star around one of its classes, then around another. Buckets whose members are then still in different
+    components are compared across those components in chunks, so no link between different texts is lost to a bucket's size.
+    """
+    with small_batches(documents.sparkSession):
+        prints, labels = _labelled(documents, id_col, text_col)
     rows = prints.select("id", "n_shingles", "cls").join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     smallest = rows.where("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("smallest"))
     return rows.join(smallest, "component", "left").select(

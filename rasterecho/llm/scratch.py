@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import ctypes
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from rasterecho.plans.workspace import new_folder
 
-__all__ = ["forget", "give_back", "keep", "release", "track"]
+__all__ = ["forget", "give_back", "keep", "release", "small_batches", "track"]
 
 
 #: By application, the tables kept since ``track``.
@@ -48,6 +50,22 @@ def forget(spark: SparkSession) -> None:
     _kept.pop(spark.sparkContext.applicationId, None)
 
 
+#: Bytes of an Arrow batch: a worker and its JVM hold a batch several times over, as rows, as Arrow and as what is made of it.
+BATCH_BYTES = 4_000_000
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Rows go to the workers in batches of about ``BATCH_BYTES``. Only for what runs inside, so its results must be kept there."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def give_back() -> None:
     """At the end of a task: memory that is free but still held by this worker goes back to the system, as Spark reuses workers."""
     pa.default_memory_pool().release_unused()

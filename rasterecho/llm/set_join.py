@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .near_dup import components
-from .scratch import keep
+from .near_dup import SLAB_BYTES, components
+from .scratch import give_back, keep, small_batches
 from .textbytes import NON_SPACE, mix, sequence_hash, slabs, word_bounds, word_hashes
 
 SHINGLE = 3
@@ -56,7 +56,7 @@ def shingle_set(words: np.ndarray) -> np.ndarray:
 
 
 def sets_of(column: pa.Array) -> Iterator[np.ndarray]:
-    for row, end, data, offsets in slabs(column):
+    for row, end, data, offsets in slabs(column, SLAB_BYTES):
         starts, ends, first = word_bounds(data, offsets, NON_SPACE)
         hashes = word_hashes(data, starts, ends, NON_SPACE)
         for i in range(end - row):
@@ -102,6 +102,7 @@ def _fronts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [s for s in sets_of(batch.column(0)) if len(s)]
         yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.binary()), pa.array([_signed(s[: COUNTED * listed(len(s))]) for s in sets], pa.list_(pa.int64()))], ["cls", "front"])
+    give_back()
 
 
 class Order:
@@ -129,6 +130,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], order: Order) -> Iterator[p
             maps.append(bitmap(s).tobytes() if len(s) else None)
         columns = [pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(fronts, pa.list_(pa.int64())), pa.array(maps, pa.binary())]
         yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names)
+    give_back()
 
 
 def _class_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,6 +138,7 @@ def _class_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = [(c, s.tobytes()) for c, s in zip(batch.column(0).to_pylist(), sets_of(batch.column(1)), strict=True) if len(s) and class_of(s) == c]
         yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.binary()), pa.array([s for _, s in out], pa.binary())], ["cls", "shingles"])
+    give_back()
 
 
 def _full_sets(needed: DataFrame, classes: DataFrame, documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -312,6 +315,7 @@ def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int32())
         found = [pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)]
         yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at, pa.int64())) for c in batch.columns[: len(_IDS)]), *found], [*_IDS, *_MEMBER, "side"])
+    give_back()
 
 
 class Answers:
@@ -380,6 +384,7 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for values in zip(*batch.columns, strict=True):
             found += answered(*(Part(*(v.as_py() for v in values[k : k + 5])) for k in (0, 5)))
         yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+    give_back()
 
 
 def _lists(prefix: str, payload: str) -> list[Column]:
@@ -434,8 +439,8 @@ def _rest(lists: DataFrame, labels: DataFrame, classes: DataFrame, documents: Da
     return keep(left.join(right, _IDS).select(*lists_of).mapInArrow(_answered, EDGE).distinct(), "rest")
 
 
-def similar_sets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_shingles, component_id (smallest id reachable by links)."""
+def _labelled(documents: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The rows' sizes and classes, and the component of each class that has a link; both kept."""
     kind = documents.schema[id_col].dataType.simpleString()
     sent = documents.sparkSession.sparkContext.broadcast(order_of(documents, text_col))
     prints = documents.select(id_col, text_col).mapInArrow(
@@ -462,6 +467,13 @@ def similar_sets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     rest = _rest(lists, labels, classes, documents, id_col, text_col)
     if rest is not None and not rest.isEmpty():
         labels = components(links.union(rest))
+    return prints, labels
+
+
+def similar_sets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, n_shingles, component_id (smallest id reachable by links)."""
+    with small_batches(documents.sparkSession):
+        prints, labels = _labelled(documents, id_col, text_col)
     rows = prints.select("id", "n_shingles", "cls").join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     smallest = rows.where("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("smallest"))
     return rows.join(smallest, "component", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("smallest", "id").alias("component_id"))
