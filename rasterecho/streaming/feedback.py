@@ -166,14 +166,13 @@ def stream_totals(diag: DataFrame) -> DataFrame:
     )
 
 
-def stream_catalog(spark: SparkSession, root: str, glob: str, *, max_files: int = 100) -> DataFrame:
-    """Files as they appear, once each, without their contents."""
-    files = (
+def stream_catalog(spark: SparkSession, root: str, glob: str, *, max_files: int | None = None) -> DataFrame:
+    """Files as they appear, once each, without their contents: all that are there, or at most ``max_files`` in a trigger."""
+    reader = (
         spark.readStream.format("binaryFile")
         .schema("path string, modificationTime timestamp, length bigint, content binary")
         .option("pathGlobFilter", glob)
         .option("recursiveFileLookup", "true")
-        .option("maxFilesPerTrigger", max_files)
-        .load(root)
     )
+    files = (reader if max_files is None else reader.option("maxFilesPerTrigger", max_files)).load(root)
     return files.select("path", "modificationTime", "length")
