@@ -1,8 +1,7 @@
 """Sampling a raster at arbitrary per-pixel positions.
 
-Used where each pixel has its own position; the scan has a faster way for whole blocks. Every target
-asks for two raster rows instead of four taps: the source is packed into rows once, and both taps of a
-row come out of its array.
+Used where each pixel has its own position; the scan has a faster way for whole blocks. The source is packed into
+rows, and each target meets one pair of rows instead of four taps, so targets are shuffled once and not grouped again.
 """
 
 from __future__ import annotations
@@ -30,25 +29,24 @@ def taps(targets: DataFrame, source: DataFrame, columns: tuple[str, ...], keys:
         f"{P.on_grid('sx', 'w')} AS _cx", f"{P.on_grid('sy', 'h')} AS _cy",
     ).selectExpr("*", "CAST(_cx AS INT) AS _x0", "CAST(_cy AS INT) AS _y0")
     asked = at.selectExpr(
-        *kept, "valid", "_x0", "least(_x0 + 1, w - 1) AS _x1",
+        *kept, "valid", "_x0", "least(_x0 + 1, w - 1) AS _x1", "_y0", "_y0 + 1 > h - 1 AS _last",
         "_cx - CAST(_x0 AS FLOAT) AS wx", "_cy - CAST(_y0 AS FLOAT) AS wy",
-        "posexplode(array(_y0, least(_y0 + 1, h - 1))) AS (_tap, _ty)",
     )
-    rows = pack_lines(source, columns, keys).select(
-        *keys, F.col("y").alias("_ty"), *[F.col(c).alias(f"_{c}") for c in columns]
+    rows = pack_lines(source, columns, keys)
+    upper = rows.select(*keys, F.col("y").alias("_y0"), *[F.col(c).alias(f"_u_{c}") for c in columns])
+    lower = rows.select(*keys, (F.col("y") - 1).alias("_y0"), *[F.col(c).alias(f"_l_{c}") for c in columns])
+    # A row may lack the one above or below it; the last row of a raster is its own lower row.
+    met = asked.join(upper.join(lower, [*keys, "_y0"], "full_outer"), [*keys, "_y0"]).where(
+        f"_u_{columns[0]} IS NOT NULL OR NOT _last"
     )
-    hit = asked.join(rows, [*keys, "_ty"]).selectExpr(
-        *kept, "valid", "wx", "wy", "_tap",
-        *[f"get(_{c}, _x{i}) AS {side}_{c}" for i, side in enumerate(("left", "right")) for c in columns],
-    )
-    # At most two rows per target come back together.
-    both = hit.groupBy(*kept, "valid", "wx", "wy").agg(
+    sides = {"u": "_u_{c}", "l": "IF(_last, _u_{c}, _l_{c})"}
+    return met.selectExpr(
+        *kept, "valid", "wx", "wy",
         *[
-            F.expr(f"max(CASE WHEN _tap = {tap // 2} THEN {('left', 'right')[tap % 2]}_{c} END) AS t{tap}_{c}")
+            f"get({sides['ul'[tap // 2]].format(c=c)}, _x{tap % 2}) AS t{tap}_{c}"
             for tap in range(4) for c in columns
-        ]
+        ],
     )
-    return both
 
 
 def bilinear(targets: DataFrame, source: DataFrame, columns: tuple[str, ...], keys: tuple[str, ...]) -> DataFrame:
