@@ -14,7 +14,7 @@ from . import sqlgen as S
 from .fixtures import table
 from .raster_queries import EMBEDDED, W, embedded, step_facts
 from .registry import query
-from .shared import diag, px, whole_scan
+from .shared import px, run_scan
 
 RUN_NAMES = tuple(S.RUNS)
 
@@ -41,7 +41,7 @@ for _run in RUN_NAMES:
 
     @query(f"i1_frame_diag_{_run}", f"{diag_sql(_run)} SELECT '{_run}' AS run_id, * REPLACE ({sql_rounded()}) FROM dg")
     def i1(spark, sf, _run=_run):
-        return rounded(diag(spark, sf).where(F.col("run_id") == _run))
+        return rounded(run_scan(spark, sf, _run).diagnostics())
 
 
 @query("i2_change_metric", S.pair_step_sql(S.RUNS["trail_full"],
@@ -365,10 +365,8 @@ _A, _B = S.RUNS["trail_full"], S.RUNS["refresh"]
   greatest(abs(p.o_r - q.o_r), abs(p.o_g - q.o_g), abs(p.o_b - q.o_b), abs(p.o_a - q.o_a)) AS e
   FROM {S.keyed('SELECT * FROM sca')} p JOIN {S.keyed('SELECT * FROM scb')} q ON p.pk = q.pk) GROUP BY seq, frame""")
 def h7(spark, sf):
-    lines = whole_scan(spark, sf).lines
-
     def of(run):
-        return unpack_lines(lines.where(F.col("run_id") == run), {c: c for c in "rgba"}, ("seq", "frame"))
+        return unpack_lines(run_scan(spark, sf, run).lines, {c: c for c in "rgba"}, ("seq", "frame"))
 
     return C.run_equality(of("trail_full"), of("refresh"), ("r", "g", "b", "a"))
 
