@@ -15,6 +15,8 @@ from rasterecho.plans.workspace import stored as keep
 
 #: Rows of an Arrow batch.
 BATCH_ROWS = 1000
+#: Bytes that a worker's memory of pieces may take in the last stage, and of text encoded at once: its workers have had four stages before.
+TOKEN_MEMORY, TOKEN_SLAB = 80_000_000, 2_000_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +51,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes the token file; one row per document of the mix, read back from it."""
     release(spark)
-    made = token_file.read_documents(token_file.write_tokens(docs.select("doc_id", "text"), word_tokenizer()))
+    segments = token_file.write_tokens(docs.select("doc_id", "text"), word_tokenizer(), memory_bytes=TOKEN_MEMORY, slab_bytes=TOKEN_SLAB, tidy=True)
+    made = token_file.read_documents(segments)
     forget(spark)
     return made
 

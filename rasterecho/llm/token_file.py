@@ -32,9 +32,9 @@ SEGMENT_TOKENS = 500_000
 END_ID = 1
 BLOCK = 512
 #: Bytes that a worker's memory of pieces and their ids may take, about: two halves, the older of which goes when the newer is full.
-MEMORY_BYTES = 80_000_000
+MEMORY_BYTES = 150_000_000
 #: Bytes of text that are encoded at once.
-SLAB_BYTES = 2_000_000
+SLAB_BYTES = 4_000_000
 _HEAD = struct.Struct("<4sBQ")
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.int64)
 
@@ -120,9 +120,10 @@ class WordEncoder:
 
     WORD_END = "</w>"
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, memory_bytes: int = MEMORY_BYTES, slab_bytes: int = SLAB_BYTES) -> None:
         from tokenizers import Tokenizer
 
+        self.memory_bytes, self.slab_bytes = memory_bytes, slab_bytes
         self.tokenizer = Tokenizer.from_file(path)
         self.run = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -169,7 +170,7 @@ class WordEncoder:
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and how many each text has; an end id closes each."""
-        if self.bytes > MEMORY_BYTES // 2:
+        if self.bytes > self.memory_bytes // 2:
             self.known, self.older, self.bytes = {}, self.known, 0
         clean = pc.replace_substring(texts.cast(pa.large_string()).fill_null(""), "\n", " ")
         lists = pc.split_pattern(clean, " ")
@@ -195,12 +196,14 @@ class WordEncoder:
         return ids, np.diff(stops[ends], prepend=0)
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple[str, int, int], WordEncoder] = {}
 
 
-def _coded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
+def _coded(batches: Iterator[pa.RecordBatch], path: str, memory_bytes: int, slab_bytes: int, tidy: bool) -> Iterator[pa.RecordBatch]:
+    name = (path, memory_bytes, slab_bytes)
+    if name not in _encoders:
+        _encoders[name] = WordEncoder(*name)
+    encoder = _encoders[name]
     rows: list[tuple] = []
     held: list[np.ndarray] = []
     seg = size = before = 0
@@ -221,8 +224,8 @@ def _coded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
     for batch in batches:
         kind = batch.column(0).type
         ids, texts = batch.column(0).to_pylist(), batch.column(1)
-        for row, end, _, _ in slabs(texts, SLAB_BYTES):
-            found, counts = _encoders[path](texts.slice(row, end - row))
+        for row, end, _, _ in slabs(texts, slab_bytes):
+            found, counts = encoder(texts.slice(row, end - row))
             for key, codes in zip(ids[row:end], np.split(found, np.cumsum(counts)[:-1]), strict=True):
                 if rows and size + len(codes) > SEGMENT_TOKENS:
                     yield flush()
@@ -231,18 +234,26 @@ def _coded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
                 size += len(codes)
     if rows:
         yield flush()
-    # What the next task of this worker will hardly ask for goes: the pieces that only the older half remembers.
-    _encoders[path].older = {}
-    give_back()
+    if tidy:
+        # What the next task of this worker will hardly ask for goes: the pieces that only the older half remembers.
+        encoder.older = {}
+        give_back()
 
 
-def write_tokens(documents: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the token file of all documents and return its table of segments: part, seg, n_tokens, before (in the part), documents (id, n), code, start."""
+def write_tokens(
+    documents: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", *,
+    memory_bytes: int = MEMORY_BYTES, slab_bytes: int = SLAB_BYTES, tidy: bool = False,
+) -> DataFrame:
+    """Write the token file of all documents and return its table of segments: part, seg, n_tokens, before (in the part), documents (id, n), code, start.
+
+    ``memory_bytes`` and ``slab_bytes`` bound what a worker remembers and encodes at once, at the cost of encoding pieces again; with
+    ``tidy`` a worker gives memory back after each task.
+    """
     spark = documents.sparkSession
     kind = documents.schema[id_col].dataType.simpleString()
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartitionByRange(n, "id").sortWithinPartitions("id", F.xxhash64("text"))
-    segments = keep(ordered.mapInArrow(lambda b: _coded(b, tokenizer_path), f"part int, seg bigint, n_tokens bigint, before bigint, documents array<struct<id: {kind}, n: bigint>>, code binary"), "segments")
+    segments = keep(ordered.mapInArrow(lambda b: _coded(b, tokenizer_path, memory_bytes, slab_bytes, tidy), f"part int, seg bigint, n_tokens bigint, before bigint, documents array<struct<id: {kind}, n: bigint>>, code binary"), "segments")
     # One number for each part goes through the driver: parts are as many as shuffle partitions.
     sums = dict(segments.groupBy("part").agg(F.sum("n_tokens")).collect())
     starts, total = [], 0
