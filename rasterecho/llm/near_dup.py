@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import give_back, keep, small_batches
+from .scratch import give_back, keep, mark, release, small_batches
 from .textbytes import NON_SPACE, mix, sequence_hash, slabs, word_bounds, word_hashes
 
 SHINGLE = 5
@@ -284,9 +284,14 @@ def _star(members: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 def _labelled(documents: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """The rows' sizes and classes, and the component of each class that has a link; both kept."""
+    spark = documents.sparkSession
+    start = mark(spark)
     prints = keep(documents.select(id_col, text_col).mapInArrow(_fingerprints, f"id {documents.schema[id_col].dataType.simpleString()}, n_shingles bigint, cls binary, bands array<bigint>, signature binary"), "prints")
     full = prints.where("n_shingles > 0")
     classes = keep(full.groupBy("cls").agg(F.min("id").alias("id"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")), "classes")
+    # Bands and signatures are read from the classes from here on.
+    slim = keep(prints.select("id", "n_shingles", "cls"), "sizes")
+    release(spark, start, start + 1)
     banded = classes.select("cls", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.min("cls").alias("x"), F.max("cls").alias("y"), F.count("*").alias("n")).where("x != y").select("key", "n")
     members = keep(banded.join(shared, "key"), "members")
@@ -307,7 +312,7 @@ def _labelled(documents: DataFrame, id_col: str, text_col: str) -> tuple[DataFra
     rest = _rest(members.select("key", "cls"), labels, classes, documents, id_col, text_col)
     if rest is not None and not rest.isEmpty():
         labels = components(links.union(rest))
-    return prints, labels
+    return slim, labels
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -329,10 +334,15 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 def drop_near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input without all but one row of each group: that with the smallest id (null last), of equal ids the first row.
 
-    Rows are told apart by a written key, as ids may repeat or be null.
+    Rows are told apart by a written key, as ids may repeat or be null. The keys of those that go are written too, and what they were
+    found with can be emptied before the texts are read again; where few go, no text is shuffled.
     """
-    place = "__at"
+    place, spark = "__at", documents.sparkSession
     rows = keep(documents.withColumn(place, F.monotonically_increasing_id()), "rows")
     key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(place).alias("at"))
-    kept = near_duplicates(rows.select(key.alias("__key"), F.col(text_col)), "__key", text_col).where("kept")
-    return rows.join(kept.select(F.col("__key.at").alias(place)), place, "left_semi").select(documents.columns)
+    start = mark(spark)
+    found = near_duplicates(rows.select(key.alias("__key"), F.col(text_col)), "__key", text_col)
+    stop = mark(spark)
+    gone = keep(found.where("NOT kept").select(F.col("__key.at").alias(place)), "gone")
+    release(spark, start, stop)
+    return rows.join(gone, place, "left_anti").select(documents.columns)

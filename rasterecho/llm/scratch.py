@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rasterecho.plans.workspace import new_folder
 
-__all__ = ["forget", "give_back", "keep", "release", "small_batches", "track"]
+__all__ = ["forget", "give_back", "keep", "mark", "release", "small_batches", "track"]
 
 
 #: By application, the tables kept since ``track``.
@@ -32,17 +32,22 @@ def track(spark: SparkSession) -> None:
     _kept[spark.sparkContext.applicationId] = []
 
 
-def release(spark: SparkSession) -> None:
-    """Empties the tables kept since ``track`` or the last release: for when what was made of them has been written elsewhere.
+def mark(spark: SparkSession) -> int:
+    """How many tables were kept since ``track`` or the last release; a place for ``release`` to start or stop at."""
+    return len(_kept.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, start: int = 0, stop: int | None = None) -> None:
+    """Empties the tables kept since ``track`` or the last release, or those between two marks: for when what was made of them has been
+    written elsewhere.
 
     Without ``track`` nothing is emptied.
     """
-    app = spark.sparkContext.applicationId
+    paths = _kept.get(spark.sparkContext.applicationId, [])
     nothing = spark.range(0).coalesce(1)
-    for path in _kept.get(app, []):
+    for path in paths[start:stop]:
         nothing.write.mode("overwrite").parquet(path)
-    if app in _kept:
-        track(spark)
+    del paths[start:stop]
 
 
 def forget(spark: SparkSession) -> None:
