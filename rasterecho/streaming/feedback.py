@@ -42,6 +42,18 @@ class StreamTables:
     def batches(self) -> str:
         return f"{self.root}/batches"
 
+    def seen(self, batch_id: int) -> str:
+        """The frames that pixels of a batch belong to."""
+        return f"{self.root}/seen/batch={batch_id}"
+
+    def ends(self, batch_id: int) -> str:
+        """The newest frame that a batch finished of each run and sequence."""
+        return f"{self.root}/ends/batch={batch_id}"
+
+    def plan(self, batch_id: int, name: str) -> str:
+        """Frame-level tables that a batch works with."""
+        return f"{self.root}/plan/{name}/batch={batch_id}"
+
     def failed(self, batch_id: int) -> str:
         return f"{self.root}/failures/batch={batch_id}"
 
@@ -112,31 +124,55 @@ def _waiting(ready: DataFrame, runs: list[dict[str, object]], first_frame: int)
     )
 
 
+def _batches(rows: DataFrame) -> list[int]:
+    """The batches that rows lie in: one number each, as a list of folders to read."""
+    return sorted(r.batch for r in rows.select("batch").distinct().collect())
+
+
+def _kept(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def step(spark: SparkSession, tables: StreamTables, runs: list[dict[str, object]], batch_id: int, first_frame: int) -> None:
-    """One trigger: find the ready frames, continue from the stored state, write this batch's frames."""
-    known = spark.read.schema(f"{PX_SCHEMA.simpleString()[7:-1].replace(':', ' ')}, batch int").parquet(tables.arrived)
-    px = known.where(F.col("batch") <= batch_id).drop("batch")
-    frames = px.select("seq", "frame").distinct()
-    ready = complete_prefix(as_catalog(frames), first_frame).select(
+    """One trigger: find the ready frames, continue from the stored state, write this batch's frames.
+
+    What is ready follows from tables of frames, which each batch writes for its own pixels and results. Pixels and lines are
+    read of those batches alone that hold a frame to be done now, or the newest state of a sequence.
+    """
+    arrived = spark.read.schema(f"{PX_SCHEMA.simpleString()[7:-1].replace(':', ' ')}, batch int").parquet(tables.arrived)
+    arrived.where(F.col("batch") == batch_id).select("seq", "frame").distinct().write.mode("overwrite").parquet(tables.seen(batch_id))
+    seen = spark.read.schema("seq string, frame int, batch int").parquet(f"{tables.root}/seen").where(F.col("batch") <= batch_id)
+    ready = _kept(complete_prefix(as_catalog(seen.select("seq", "frame").distinct()), first_frame).select(
         "seq", (F.col("prefix_length") + first_frame - 1).cast("int").alias("_ready"), "stray_frame"
+    ), tables.plan(batch_id, "ready"))
+    ends = existing(spark, f"{tables.root}/ends", "run_id string, seq string, frame int, batch int")
+    if ends is None:
+        ends = spark.createDataFrame([], "run_id string, seq string, frame int, batch int")
+    newest = ends.where(F.col("batch") < batch_id).groupBy("run_id", "seq").agg(F.max_by("batch", "frame").alias("batch"), F.max("frame").alias("frame"))
+    newest = _kept(newest, tables.plan(batch_id, "newest"))
+    reached = newest.groupBy("seq").agg(F.max("frame").alias("_reached"))
+    todo = seen.join(ready, "seq").join(reached, "seq", "left").where(
+        F.col("frame").between(first_frame, F.col("_ready")) & (F.col("_reached").isNull() | (F.col("frame") > F.col("_reached")))
     )
-    done = finished_frames(spark, tables, batch_id)
-    open_frames = px.join(ready.drop("stray_frame"), "seq").where(F.col("frame").between(first_frame, F.col("_ready"))).drop("_ready")
+    todo = _kept(todo.select("seq", "frame", "batch", F.col("_reached").isNull().alias("fresh")), tables.plan(batch_id, "todo"))
+
+    def pixels(frames: DataFrame) -> DataFrame | None:
+        among = _batches(frames)
+        found = arrived.where(F.col("batch").isin(among)).drop("batch")
+        return found.join(frames.select("seq", "frame").distinct(), ["seq", "frame"], "left_semi") if among else None
+
+    later, fresh = (pixels(todo.where(F.col("fresh") == flag)) for flag in (False, True))
     parts = []
-    if done is None or done.isEmpty():
-        parts.append(feedback_scan(open_frames, runs))
-    else:
-        newest = done.groupBy("run_id", "seq").agg(F.max("frame").alias("frame"))
-        last = done.join(newest, ["run_id", "seq", "frame"], "left_semi").select(
+    if later is not None:
+        done = finished_frames(spark, tables).where(F.col("batch").isin(_batches(newest)))
+        last = done.join(newest.drop("batch"), ["run_id", "seq", "frame"], "left_semi").select(
             "run_id", "seq", "frame", "y", "w", "h", "r", "g", "b", "a", "k"
         )
-        reached = newest.groupBy("seq").agg(F.max("frame").alias("_reached"))
-        later = open_frames.join(reached, "seq").where(F.col("frame") > F.col("_reached")).drop("_reached")
-        fresh = open_frames.join(reached, "seq", "left_anti")
-        if not later.isEmpty():
-            parts.append(feedback_scan(later, runs, state=last))
-        if not fresh.isEmpty():
-            parts.append(feedback_scan(fresh, runs))
+        parts.append(feedback_scan(later, runs, state=last))
+    if fresh is not None or not parts and newest.isEmpty():
+        # With nothing done and nothing to do, an empty scan gives the tables their schema.
+        parts.append(feedback_scan(arrived.drop("batch").where(F.lit(False)) if fresh is None else fresh, runs))
     failures = _waiting(ready, runs, first_frame)
     for part in parts:
         failures = failures.unionByName(part.failures.select(*failures.columns))
@@ -144,6 +180,10 @@ def step(spark: SparkSession, tables: StreamTables, runs: list[dict[str, object]
     failures.write.mode("overwrite").parquet(tables.failed(batch_id))
     for i, part in enumerate(parts):
         part.lines.write.mode("overwrite" if i == 0 else "append").parquet(tables.batch(batch_id))
+    finished = finished_frames(spark, tables)
+    if parts:
+        reached_now = finished.where(F.col("batch") == batch_id).groupBy("run_id", "seq").agg(F.max("frame").alias("frame"))
+        reached_now.write.mode("overwrite").parquet(tables.ends(batch_id))
     spark.range(1).select(F.lit(batch_id).cast("int").alias("batch")).coalesce(1).write.mode("append").parquet(tables.log)
 
 
