@@ -25,12 +25,21 @@ def frame_digest(px: DataFrame, columns: tuple[str, ...], keys: tuple[str, ...]
     )
 
 
-def run_equality(a: DataFrame, b: DataFrame, columns: tuple[str, ...], keys: tuple[str, ...] = ("seq", "frame")) -> DataFrame:
-    """H7: per frame, whether two runs agree exactly, and by how much they differ if not."""
-    pixel = [*keys, "y", "x"]
-    left = a.select(*pixel, F.struct(*columns).alias("_a"))
-    right = b.select(*pixel, F.struct(*columns).alias("_b"))
-    both = left.join(right, pixel, "full_outer")
+def run_equality(
+    a: DataFrame, b: DataFrame, columns: tuple[str, ...], keys: tuple[str, ...] = ("seq", "frame"), *, lines: bool = False,
+) -> DataFrame:
+    """H7: per frame, whether two runs agree exactly, and by how much they differ if not.
+
+    ``a`` and ``b`` have a row for each pixel, or with ``lines`` one for each raster row with an array per column: then lines meet and
+    are unfolded where they met, so no pixel is moved.
+    """
+    if lines:
+        both = _lines_met(a, b, columns, keys)
+    else:
+        pixel = [*keys, "y", "x"]
+        left = a.select(*pixel, F.struct(*columns).alias("_a"))
+        right = b.select(*pixel, F.struct(*columns).alias("_b"))
+        both = left.join(right, pixel, "full_outer")
     differs = ~F.col("_a").eqNullSafe(F.col("_b"))
     error = F.greatest(*[F.abs(F.col(f"_a.{c}") - F.col(f"_b.{c}")) for c in columns])
     return both.groupBy(*keys).agg(
@@ -41,6 +50,16 @@ def run_equality(a: DataFrame, b: DataFrame, columns: tuple[str, ...], keys: tup
     )
 
 
+def _lines_met(a: DataFrame, b: DataFrame, columns: tuple[str, ...], keys: tuple[str, ...]) -> DataFrame:
+    """The pixels of both sides from lines that meet; a place that a side lacks has null there."""
+    line = [*keys, "y"]
+    left, right = (df.select(*line, F.arrays_zip(*columns).alias(n)) for df, n in ((a, "_a"), (b, "_b")))
+    # Merged, as lines are many times larger than their files, by which Spark would send a side whole to the driver.
+    met = left.join(right.hint("merge"), line, "full_outer")
+    none = F.array().cast(left.schema["_a"].dataType)
+    return met.select(*keys, F.inline(F.arrays_zip(F.coalesce("_a", none).alias("_a"), F.coalesce("_b", none).alias("_b"))))
+
+
 def sweep_compare(totals: DataFrame) -> DataFrame:
     """K3: the runs of each sequence ranked by how much they change and how much history they use."""
     used = F.when(

@@ -9,12 +9,11 @@ from ..operators import compare as C
 from ..operators import diagnostics as D
 from ..operators import events as V
 from ..operators import timing as T
-from ..operators.step import unpack_lines
 from . import sqlgen as S
 from .fixtures import table
 from .raster_queries import EMBEDDED, W, embedded, step_facts
 from .registry import query
-from .shared import px, run_scan
+from .shared import pair_scan, px, run_scan
 
 RUN_NAMES = tuple(S.RUNS)
 
@@ -365,10 +364,9 @@ _A, _B = S.RUNS["trail_full"], S.RUNS["refresh"]
   greatest(abs(p.o_r - q.o_r), abs(p.o_g - q.o_g), abs(p.o_b - q.o_b), abs(p.o_a - q.o_a)) AS e
   FROM {S.keyed('SELECT * FROM sca')} p JOIN {S.keyed('SELECT * FROM scb')} q ON p.pk = q.pk) GROUP BY seq, frame""")
 def h7(spark, sf):
-    def of(run):
-        return unpack_lines(run_scan(spark, sf, run).lines, {c: c for c in "rgba"}, ("seq", "frame"))
-
-    return C.run_equality(of("trail_full"), of("refresh"), ("r", "g", "b", "a"))
+    both = pair_scan(spark, sf, "trail_full", "refresh").lines
+    a, b = (both.where(F.col("run_id") == run) for run in ("trail_full", "refresh"))
+    return C.run_equality(a, b, ("r", "g", "b", "a"), lines=True)
 
 
 # --- event logs ----------------------------------------------------------------------------------------
